@@ -10,10 +10,11 @@ from .op5_minhash import op5_minhash
 from .op6_language import op6_language_id
 from .op7_tokens import op7_token_output
 from .op8_mixing import op8_mixing
+from .op9_repeats import op9_repeats
 from .op10_counts import op10_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_neighbours, op2_url_lists, op4_decontaminate, op5_minhash, op6_language_id, op7_token_output, op8_mixing, op10_token_counts)
+    for f in (op1_neighbours, op2_url_lists, op4_decontaminate, op5_minhash, op6_language_id, op7_token_output, op8_mixing, op9_repeats, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_lists": urls.ORACLE}
