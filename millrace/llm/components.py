@@ -1,8 +1,10 @@
-"""Connected components of an edge table, without bringing links or components to the driver."""
+"""Connected components, of an edge table or of buckets of candidates, without bringing links or components to the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -20,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic in the size of a component; a hub's neighbours meet in a partial aggregate and a join, never in one group.
     """
     edges = store.materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    stamp = lambda e: tuple(e.agg(F.count("*"), F.sum("u"), F.sum("v"), F.expr("bit_xor(xxhash64(u, v))")).first())
+    stamp = lambda e: tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first())
     seen = stamp(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,3 +39,36 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+
+
+def resolve(rows: DataFrame, test: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of the links among members of one bucket; ``rows`` has doc, bucket and the bucket's size n.
+
+    ``test`` takes edges (centre, member) and returns those that hold as (a, b).  The member that shares most buckets
+    with others is a bucket's first centre and meets all members.  Where the bucket then spans several components, its
+    next members (8, then 32, 128, ...) meet those of other components, until all pairs are tested or linked.
+    """
+    score = rows.groupBy("doc").agg(F.sum("n").alias("score"))
+    rows = store.materialise(rows.select("doc", "bucket").join(score, "doc"), "buckets")
+    best = rows.groupBy("bucket").agg(F.max(F.struct("score", F.bitwise_not("doc").alias("inverse"))).alias("top"))
+    best = best.select("bucket", F.bitwise_not("top.inverse").alias("centre"))
+    edges = rows.join(best, "bucket").where("doc <> centre").select("centre", F.col("doc").alias("member")).distinct()
+    found = store.materialise(test(edges), "links")
+    order = Window.partitionBy("bucket").orderBy(F.desc("score"), "doc")
+    done, width = 1, 8
+    while True:
+        # the first ``done`` members of each bucket have been centres; it stays open while it spans components
+        comps = components(found)
+        held = rows.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
+        held = held.select("doc", "bucket", "score", F.coalesce("component", "doc").alias("own"))
+        spread = held.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n"))
+        rows = store.materialise(held.join(spread.where(F.col("low") < F.col("high")).where(F.col("n") > done + 1).select("bucket"), "bucket"), "open")
+        if rows.isEmpty():
+            return comps
+        centres = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= done + width).where(F.col("rank") > done)
+        centres = centres.select("bucket", F.col("doc").alias("centre"), F.col("own").alias("theirs"), F.col("score").alias("s"))
+        later = (F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("doc") > F.col("centre")))
+        edges = rows.join(centres, "bucket").where((F.col("own") != F.col("theirs")) & later).select("centre", F.col("doc").alias("member")).distinct()
+        found = store.materialise(found.unionByName(test(edges)), "links")
+        rows = rows.select("doc", "bucket", "score")
+        done, width = done + width, width * 4

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels, store
-from .components import components
+from .components import resolve
 
 BANDS, ROWS = 32, 5
 #: Members that one group tests against a centre.
@@ -122,31 +122,7 @@ def links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     """node, component over ``classes`` (doc_id, bands); nodes without a link are left out."""
     rows = classes.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, "bucket")
-    score = rows.groupBy("doc").agg(F.sum("n").alias("score"))
-    rows = store.materialise(rows.select("doc", "bucket").join(score, "doc"), "buckets")
-    best = rows.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"))).alias("top"))
-    best = best.select("bucket", (-F.col("top.minus")).alias("centre"))
-    edges = rows.join(best, "bucket").where("doc <> centre").select("centre", F.col("doc").alias("member")).distinct()
-    found = store.materialise(tested(edges, docs, shingle, percent), "links")
-    order = Window.partitionBy("bucket").orderBy(F.desc("score"), "doc")
-    done, width = 1, 8
-    while True:
-        # the first ``done`` members of each bucket have been centres; it stays open while it spans components
-        comps = components(found)
-        held = rows.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-        held = held.select("doc", "bucket", "score", F.coalesce("component", "doc").alias("own"))
-        spread = held.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n"))
-        rows = store.materialise(held.join(spread.where(F.col("low") < F.col("high")).where(F.col("n") > done + 1).select("bucket"), "bucket"), "open")
-        if rows.isEmpty():
-            return comps
-        centres = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= done + width).where(F.col("rank") > done)
-        centres = centres.select("bucket", F.col("doc").alias("centre"), F.col("own").alias("theirs"), F.col("score").alias("s"))
-        later = (F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("doc") > F.col("centre")))
-        edges = rows.join(centres, "bucket").where((F.col("own") != F.col("theirs")) & later).select("centre", F.col("doc").alias("member")).distinct()
-        found = store.materialise(found.unionByName(tested(edges, docs, shingle, percent)), "links")
-        rows = rows.select("doc", "bucket", "score")
-        done, width = done + width, width * 4
+    return resolve(rows.join(sizes, "bucket"), lambda edges: tested(edges, docs, shingle, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

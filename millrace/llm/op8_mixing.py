@@ -65,11 +65,16 @@ def time_of(x, target, slope) -> F.Column:
     return F.least(F.lit(1.0), 2 * u / (b + F.sqrt(F.greatest(F.lit(0.0), b * b + 4 * slope * u))))
 
 
-def plan_mix(docs: DataFrame, seed: int = 8, extra: tuple[str, ...] = (), **targets) -> DataFrame:
-    """docs (doc_id, source, text and ``extra``) with size, source_size, target, slope, place (first word's place in the
+def mix_key(seed: int) -> F.Column:
+    """The seeded hash that orders a source's documents."""
+    return F.xxhash64(F.col("doc_id"), F.lit(seed), F.col("text"))
+
+
+def plan_mix(docs: DataFrame, seed: int = 8, **targets) -> DataFrame:
+    """doc_id and source of ``docs`` with key, size, source_size, target, slope, place (first word's place in the
     source's stream), whole (full copies) and taken (words taken from all copies)."""
     size, key = F.col("size"), F.col("key")
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed), F.col("text")).alias("key"), *extra)
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(seed).alias("key"))
     base = store.materialise(base, "mix")
     targets_df = source_targets(base.select("source", "size"), **targets).withColumnRenamed("source", "s")
     bucket = F.shiftright(key, 64 - BUCKET_BITS)
@@ -87,26 +92,37 @@ def plan_mix(docs: DataFrame, seed: int = 8, extra: tuple[str, ...] = (), **targ
     return rows.withColumn("rest", rest).withColumn("taken", F.col("whole") * size + rest).drop("bucket", "before")
 
 
-def schedule(docs: DataFrame, extra: tuple[str, ...] = (), **options) -> DataFrame:
-    """One row for each copy that is taken: the columns of ``plan_mix``, copy, words (taken from this copy) and position,
-    range-sorted by position."""
-    rows = plan_mix(docs, extra=extra, **options).where("taken > 0")
+def schedule(docs: DataFrame, **options) -> DataFrame:
+    """One row for each copy that is taken: the columns of ``plan_mix``, copy, copy_words (taken from it) and position."""
+    rows = plan_mix(docs, **options).where("taken > 0")
     copies = F.sequence(F.lit(0), F.col("whole") - F.when(F.col("rest") > 0, 0).otherwise(1))
     rows = rows.withColumn("copy", F.explode(copies))
     rows = rows.withColumn("copy_words", F.when(F.col("copy") < F.col("whole"), F.col("size")).otherwise(F.col("rest")))
     start = F.col("copy") * F.col("source_size") + F.col("place")
-    rows = rows.withColumn("position", time_of(start, F.col("target"), F.col("slope")))
-    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
+    return rows.withColumn("position", time_of(start, F.col("target"), F.col("slope")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them, in order of position, with their own columns: a document taken twice is two
-    rows, and a copy that the mix cuts holds its first words only."""
+def mixed_documents(docs: DataFrame, seed: int = 8, **options) -> DataFrame:
+    """The documents as the mix takes them, range-sorted by position, with their own columns: a document taken twice is
+    two rows, and a copy that the mix cuts holds its first words only.
+
+    Copies are planned on sizes alone and meet the texts once, by doc_id and key; rows that repeat both are told apart
+    by a number that is only computed where there are any.
+    """
     columns = docs.columns
-    holder = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    rows = schedule(holder, extra=("row",), **options)
-    text = F.when(F.col("copy_words") >= F.col("size"), F.col("row.text")).otherwise(first_words(F.col("row.text"), F.col("copy_words")))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns])
+    plan = schedule(docs, seed=seed, **options).select("doc_id", "key", "source", "place", "copy", "copy_words", "size", "position")
+    plan = store.materialise(plan, "schedule")
+    rows = docs.select(F.col("doc_id").alias("_id"), mix_key(seed).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
+    if not plan.groupBy("doc_id", "key", "copy").count().where("count > 1").isEmpty():
+        mine = Window.partitionBy("_id", "_key").orderBy(F.col("_row.source"), F.xxhash64("_row"))
+        theirs = Window.partitionBy("doc_id", "key", "copy").orderBy("source", "place")
+        rows, plan = rows.withColumn("_n", F.row_number().over(mine)), plan.withColumn("n", F.row_number().over(theirs))
+        same = same & (F.col("_n") == F.col("n"))
+    rows = rows.join(plan, same)
+    text = F.when(F.col("copy_words") >= F.col("size"), F.col("_row.text")).otherwise(first_words(F.col("_row.text"), F.col("copy_words")))
+    rows = rows.withColumn("_text", text).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
+    return rows.select(*[F.col("_text" if c == "text" else f"_row.`{c}`").alias(c) for c in columns])
 
 
 def first_words(text, n) -> F.Column:

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels, lyndon, store
+from .files import NO_ID, Lookup, buckets_of, by_file, concatenated, file_runs, member, occurrence, scanned
 
 LENGTH, GRAM = 100, 40
 HOT = 4096
-NO_ID = -(1 << 63)
 PLACE = (1 << 28) - 1
 #: Bytes of texts that are hashed together, and of a text that is hashed at once.
 CHUNK, SEGMENT = 1 << 18, 1 << 22
@@ -86,79 +86,14 @@ def _anchors(run: list[bytes]):
     return grams[at], kernels.range_hash(prefix, first, last + LENGTH), text, first - base, last - base, at - base
 
 
-def occurrence(doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """One hash for each (doc_id, key, place)."""
-    h = kernels.mix(doc.astype(np.uint64) * np.uint64(kernels.BASE) + key.astype(np.uint64))
-    return kernels.mix(h * np.uint64(kernels.BASE) + place.astype(np.uint64))
-
-
-def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which values the sorted table holds."""
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(table, values)
-    return table[np.minimum(at, len(table) - 1)] == values
-
-
-class Lookup:
-    """What a step has found for one input file, from a table partitioned by ``file``."""
-
-    def __init__(self, path: str):
-        self.path, self.file, self.table = path, None, {}
-
-    def of(self, file: int) -> dict:
-        """The columns of the file's rows as arrays."""
-        if file != self.file:
-            from pyarrow import dataset, fs
-
-            files, top = store.filesystem(self.path)
-            place = f"{top}/file={file}"
-            self.file, self.table = file, {}
-            if files.get_file_info(place).type == fs.FileType.Directory:
-                table = dataset.dataset(place, filesystem=files, format="parquet").to_table()
-                self.table = {c: table.column(c).to_numpy() for c in table.column_names}
-        return self.table
-
-
-    def sorted(self, file: int, column: str) -> np.ndarray:
-        """A column of the file's rows as sorted hashes."""
-        table = self.of(file)
-        if ("sorted", column) not in table:
-            table["sorted", column] = np.sort(table.get(column, np.empty(0, np.int64)).view(np.uint64))
-        return table["sorted", column]
-
-
-def by_file(df: DataFrame, name: str) -> str:
-    """Write ``df``, partitioned by its column ``file``; the path."""
-    path = store.new_path(df.sparkSession, name)
-    df.repartition("file").write.partitionBy("file").parquet(path)
-    return path
-
-
 def runs_of(batch):
     """(file, doc ids, keys, texts as bytes) for runs of rows of one file."""
-    file, doc, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+    doc, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
     texts = batch.column(3).to_pylist()
-    cut = [0, *(np.flatnonzero(np.diff(file)) + 1).tolist(), len(file)]
-    for a, b in itertools.pairwise(cut):
-        for first, run in kernels.chunks(texts[a:b], CHUNK):
-            rows = slice(a + first, a + first + len(run))
-            yield int(file[a]), doc[rows], key[rows], run
-
-
-def buckets_of(parts: list[tuple], key: np.ndarray, n: int):
-    """(bucket, blob of each array) with the rows dealt by ``key``."""
-    which = (key % np.uint64(n)).astype(np.int64)
-    order = np.argsort(which, kind="stable")
-    cut = np.searchsorted(which[order], np.arange(n + 1))
-    parts = [p[order] for p in parts]
-    for b in range(n):
-        if cut[b] < cut[b + 1]:
-            yield (b, *(p[cut[b] : cut[b + 1]].tobytes() for p in parts))
-
-
-def concatenated(blobs, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype)
+    for file, part in file_runs(batch):
+        for first, run in kernels.chunks(texts[part], CHUNK):
+            rows = slice(part.start + first, part.start + first + len(run))
+            yield file, doc[rows], key[rows], run
 
 
 def common_anchors(rows: DataFrame, n: int) -> str:
@@ -459,9 +394,7 @@ def remove_repeats(docs: DataFrame, stored: bool = False, hot: int = HOT) -> Dat
     """
     spark = docs.sparkSession
     store.arrow_batches(spark)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base if stored else store.materialise(base, "documents")
-    rows = base.select(F.xxhash64(F.input_file_name()).alias("file"), "doc", F.xxhash64("text").alias("key"), "text")
+    rows = scanned(docs, stored)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = common_anchors(rows, n)
     firsts = store.materialise(first_contexts(rows, common, n), "contexts")
