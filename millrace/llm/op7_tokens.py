@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from . import store
 
 NO_ID = -(1 << 63)
-#: Entries of a worker's word cache; it is emptied when full.
-CACHE = 400_000
+#: Entries of one generation of a worker's caches.
+CACHE = 500_000
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 COUNTS = "shard int, n_docs long, n_tokens long"
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -39,11 +39,40 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The pre-tokenizer pattern and the normalizers of the word tokenizer whose pieces are cached below.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: What that pattern and lower-casing give on plain text: ASCII white space and print, and the Latin-1 letters.
+PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+
+class Cache:
+    """What has been encoded, in two generations of at most ``CACHE`` entries, so that frequent keys stay."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def need(self, keys: set[str]) -> list[str]:
+        """Those of the keys that must be encoded; the others are in ``young`` now."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        new = keys.difference(self.young)
+        if self.old:
+            kept = [k for k in new if k in self.old]
+            self.young.update((k, self.old[k]) for k in kept)
+            new.difference_update(kept)
+        return list(new)
+
+
 class Encoder:
     """Texts to little-endian id bytes.
 
     With ``by_word`` each distinct white-space word is encoded once by the library and its ids are joined.  That is
-    right for tokenizers that drop white space and never look across it; otherwise leave it off.
+    right for tokenizers that drop white space and never look across it; otherwise leave it off.  Where the tokenizer's
+    own file has the normalizers and the pattern above, plain texts are split into its pre-tokens instead, which repeat
+    more often than words.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -51,23 +80,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        splits = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.by_piece = by_word and splits[:1] == [SPLIT] and steps == NORMALIZERS
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
+        self.words, self.pieces = Cache(), Cache()
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Encodings of pre-tokens, many in one text: each token names the pre-token that it is from."""
+        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        at, data = np.array(found.word_ids), np.array(found.ids, self.dtype).tobytes()
+        cut = (np.searchsorted(at, np.arange(len(pieces) + 1)) * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _joined(self, split: list[list[str]], cache: Cache, encode, size: int) -> list[bytes]:
+        new = cache.need(set().union(*split))
+        for i in range(0, len(new), size):
+            cache.young.update(zip(new[i : i + size], encode(new[i : i + size]), strict=True))
+        return [b"".join(map(cache.young.__getitem__, keys)) for keys in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encoded(texts)
-        known = self.words
-        if len(known) > CACHE:
-            known.clear()
-        split = [WORD.findall(x) for x in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            known.update(zip(new[i : i + 4096], self._encoded(new[i : i + 4096]), strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        plain = [self.by_piece and PLAIN.fullmatch(x) is not None and not any(t in x for t in self.special) for x in texts]
+        pieces = iter(self._joined([PIECE.findall(x.lower()) for x, p in zip(texts, plain, strict=True) if p], self.pieces, self._together, 1000))
+        words = iter(self._joined([WORD.findall(x) for x, p in zip(texts, plain, strict=True) if not p], self.words, self._encoded, 4096))
+        return [next(pieces if p else words) for p in plain]
 
 
 _encoders: dict[tuple, Encoder] = {}
