@@ -81,7 +81,7 @@ class LongestMatch:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for word in set(words) - known.keys():
+        for word in set(words).difference(known):
             known[word] = self.count(word)
         return sum(map(known.__getitem__, words))
 
