@@ -1 +1 @@
-
+"""Normalisation is row by row, so ``operators.normalize`` also takes a streaming DataFrame; nothing else here is a stream."""
