@@ -158,8 +158,10 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = SA
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang", key.alias("key"))
-    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    return sorted((r.text, r.lang) for r in rows.orderBy("n", "key").limit(most).collect())
+    ranked = rows.drop("text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    chosen = ranked.orderBy("n", "key").limit(most).select("key", "lang").distinct()
+    found = rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").select("text", "lang").distinct()
+    return sorted((r.text, r.lang) for r in found.collect())
 
 
 def held_out(doc_id) -> F.Column:
