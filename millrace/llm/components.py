@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -41,12 +41,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
-def resolve(rows: DataFrame, test: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Members of a group that are compared in one task; larger groups are compared block by block.
+BLOCK = 2048
+#: Members up to which buckets that overlap are compared as one group.
+MERGED = 8 * BLOCK
+
+
+def resolve(rows: DataFrame, payload: DataFrame, test: Callable[[DataFrame], DataFrame], solve: Callable) -> DataFrame:
     """node, component of the links among members of one bucket; ``rows`` has doc, bucket and the bucket's size n.
 
-    ``test`` takes edges (centre, member) and returns those that hold as (a, b).  The member that shares most buckets
-    with others is a bucket's first centre and meets all members.  Where the bucket then spans several components, its
-    next members (8, then 32, 128, ...) meet those of other components, until all pairs are tested or linked.
+    First each bucket is a star: the member that shares most buckets with others is its centre, and ``test`` takes the
+    edges (centre, member) and returns those that hold as (a, b).  Copies of one text end here, at one test a copy.
+    Buckets that still span several components are open; all their pairs are compared, but inside tasks: open buckets
+    that overlap are one group (or, beyond ``MERGED`` members, each bucket is one), groups are dealt in blocks of
+    ``BLOCK``, and solve(payloads, components) returns only links that join components, as index pairs.
+    ``payload`` has doc and value.
     """
     score = rows.groupBy("doc").agg(F.sum("n").alias("score"))
     rows = store.materialise(rows.select("doc", "bucket").join(score, "doc"), "buckets")
@@ -54,21 +63,72 @@ def resolve(rows: DataFrame, test: Callable[[DataFrame], DataFrame]) -> DataFram
     best = best.select("bucket", F.bitwise_not("top.inverse").alias("centre"))
     edges = rows.join(best, "bucket").where("doc <> centre").select("centre", F.col("doc").alias("member")).distinct()
     found = store.materialise(test(edges), "links")
-    order = Window.partitionBy("bucket").orderBy(F.desc("score"), "doc")
-    done, width = 1, 8
-    while True:
-        # the first ``done`` members of each bucket have been centres; it stays open while it spans components
-        comps = components(found)
-        held = rows.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-        held = held.select("doc", "bucket", "score", F.coalesce("component", "doc").alias("own"))
-        spread = held.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n"))
-        rows = store.materialise(held.join(spread.where(F.col("low") < F.col("high")).where(F.col("n") > done + 1).select("bucket"), "bucket"), "open")
-        if rows.isEmpty():
-            return comps
-        centres = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= done + width).where(F.col("rank") > done)
-        centres = centres.select("bucket", F.col("doc").alias("centre"), F.col("own").alias("theirs"), F.col("score").alias("s"))
-        later = (F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("doc") > F.col("centre")))
-        edges = rows.join(centres, "bucket").where((F.col("own") != F.col("theirs")) & later).select("centre", F.col("doc").alias("member")).distinct()
-        found = store.materialise(found.unionByName(test(edges)), "links")
-        rows = rows.select("doc", "bucket", "score")
-        done, width = done + width, width * 4
+    comps = components(found)
+    held = rows.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "bucket", F.coalesce("component", "doc").alias("own"))
+    spread = held.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n"), F.min("doc").alias("least"))
+    wide = spread.where(F.col("low") < F.col("high")).where("n > 2").select("bucket", "least")
+    held = store.materialise(held.join(wide, "bucket"), "open")
+    if held.isEmpty():
+        return comps
+    groups = components(held.select(F.col("doc").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    merged = held.select("doc", "own").distinct().join(groups, "doc")
+    sizes = merged.groupBy("group").agg(F.count("*").alias("n"))
+    small = merged.join(sizes.where(F.col("n") <= MERGED), "group")
+    large = held.join(groups.join(sizes.where(F.col("n") > MERGED), "group").select("doc").distinct(), "doc", "left_semi")
+    by_bucket = large.groupBy("bucket").agg(F.count("*").alias("n"))
+    large = large.join(by_bucket, "bucket").select("doc", "own", F.col("bucket").alias("group"), "n")
+    more = compared(small.select("doc", "own", "group", "n").unionByName(large), payload, solve)
+    return components(found.unionByName(store.materialise(more, "links")))
+
+
+def compared(members: DataFrame, payload: DataFrame, solve: Callable) -> DataFrame:
+    """Links (a, b) found by ``solve`` in each pair of blocks of each group; members: group, doc, own, n (the group's size)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own, other = F.pmod(F.xxhash64("doc"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    rows = members.select("group", "doc", "own", own.alias("block"), other.alias("other"))
+    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "own").join(payload, "doc")
+    rows = rows.select("group", "i", "j", "doc", "own", "value").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "doc")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def solved():
+            pairs = solve([v for _, _, v in held], [o for _, o, _ in held]) if len({o for _, o, _ in held}) > 1 else []
+            a, b = ([held[p[k]][0] for p in pairs] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for group, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, i, j) != key:
+                    if held:
+                        yield solved()
+                    key, held = (group, i, j), []
+                held.append(tuple(row))
+        if held:
+            yield solved()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+class Union:
+    """Disjoint sets over 0 .. n - 1, started from component labels."""
+
+    def __init__(self, labels):
+        first: dict = {}
+        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether i and j were apart."""
+        a, b = self.top(i), self.top(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+    def labels(self) -> list[int]:
+        return [self.top(i) for i in range(len(self.up))]

@@ -8,7 +8,7 @@ A line of length l is cut into EDITS + 1 even segments; a near line must hold on
 (l, segment number, segment) of every line; a line of length n probes, for each l from n - EDITS to n, only the
 substrings whose place allows the rest to be matched within the threshold.  Keys are hashed.  A first scan deals the
 keys, distinct in each piece of input, to buckets and keeps those that an index entry and a probe of different lines
-share; a second scan brings the lines that hold such keys.  Each key's lines are resolved without listing their
+share; a second scan brings the lines that hold such keys.  The lines of a key are resolved without listing their
 pairs (``components.resolve``), and a pair is verified by banded bit-parallel edit distance, many pairs at a time.
 
 Null and empty texts have no lines.  Rows that repeat both doc_id and text are one document with one result each; a
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels, store
-from .components import resolve
+from .components import Union, resolve
 from .files import NO_ID, Lookup, buckets_of, by_file, concatenated, file_runs, member, occurrence, scanned
 
 EDITS, LEAST = 2, 24
@@ -276,6 +276,41 @@ def near(edges: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def joining_pairs(lines: list[str], owners: list, edits: int) -> list[tuple[int, int]]:
+    """Pairs of lines within the threshold that join the owners' components.
+
+    Every pair of different owners whose lengths differ by at most ``edits`` is met; one edit changes the counts of
+    characters (by their last six bits) by two at most, which rules most pairs out before distances are computed.
+    """
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in lines]
+    size = np.array([len(p) for p in points])
+    counts = np.stack([np.bincount(p & 63, minlength=64) for p in points]).astype(np.int16)
+    order = np.argsort(size, kind="stable")
+    ends = np.searchsorted(size[order], size[order] + edits, "right")
+    union, out = Union(owners), []
+    waiting: list[tuple[int, int]] = []
+
+    def verify():
+        pairs = [(i, j) for i, j in waiting if union.top(i) != union.top(j)]
+        waiting.clear()
+        for (i, j), d in zip(pairs, distances([(points[i], points[j]) for i, j in pairs], edits).tolist(), strict=True):
+            if d <= edits and union.join(i, j):
+                out.append((i, j))
+
+    labels = np.array(union.labels())
+    for k, i in enumerate(order.tolist()):
+        later = order[k + 1 : ends[k]]
+        later = later[labels[later] != labels[i]]
+        if len(later):
+            later = later[np.abs(counts[later] - counts[i]).sum(1) <= 2 * edits]
+            waiting += [(i, j) for j in later.tolist()]
+        if len(waiting) >= 4096:
+            verify()
+            labels = np.array(union.labels())
+    verify()
+    return out
+
+
 def without_lines(rows: DataFrame, listed: str) -> DataFrame:
     """Cut every document.  listed: for each file the lines (h) of classes with several occurrences, and the occurrence (y) that stays."""
 
@@ -327,7 +362,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, stored:
     members = texts.select(F.col("line").alias("doc"), F.explode("keys").alias("bucket")).distinct()
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     one_text = texts.groupBy("line").agg(F.min("text").alias("text"))
-    classes = resolve(members.join(sizes, "bucket"), lambda edges: near(edges, one_text, edits))
+    payload = one_text.select(F.col("line").alias("doc"), F.col("text").alias("value"))
+    solve = lambda own, owners: joining_pairs(own, owners, edits)
+    classes = resolve(members.join(sizes, "bucket"), payload, lambda edges: near(edges, one_text, edits), solve)
     owned = lines.join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("component", "h"))
     best = owned.groupBy("class").agg(F.min(F.struct("doc", "key", "place")).alias("best"), F.sum("n").alias("times")).where("times > 1")
     listed = owned.join(best, "class")

@@ -6,12 +6,11 @@ values are banded (``BANDS`` bands of ``ROWS``; a band never holds both values o
 two sets share no band with probability 3e-6.
 
 Documents with equal sets are one class, found by a 128-bit fingerprint, and only its least doc_id goes on.  Classes
-that share a band value form a bucket.  Buckets are resolved without listing their pairs: the member that shares most
-values with others is the centre, and all members are tested against it; where a bucket still spans several
-components, its next members become centres (8, then 32, 128, ...) for the members of other components, until every
-pair of the bucket is tested or linked.  So components are those of all pairs, and a group of copies costs one test a
-copy.  Tests compare the full sets: members travel to (centre, salt) groups of bounded size and are streamed past
-the centre's set.
+that share a band value form a bucket.  The member that shares most values with others is a bucket's centre, and all
+members are tested against it, so a group of copies costs one test a copy.  Where buckets still span several
+components, all their pairs are compared inside tasks, in blocks, by exact counts of shared shingles
+(``components.resolve``); only links that join components leave a task.  Tests compare the full sets: members travel
+to (centre, salt) groups of bounded size and are streamed past the centre's set.
 
 Texts without words, and null texts, have an empty set and are linked with nothing.  Rows with a null doc_id are
 returned alone with a null component and are kept.  Rows that repeat a doc_id are one document, with the text of
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels, store
-from .components import resolve
+from .components import Union, resolve
 
 BANDS, ROWS = 32, 5
 #: Members that one group tests against a centre.
@@ -122,7 +121,48 @@ def links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     """node, component over ``classes`` (doc_id, bands); nodes without a link are left out."""
     rows = classes.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return resolve(rows.join(sizes, "bucket"), lambda edges: tested(edges, docs, shingle, percent))
+    payload = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("value"))
+
+    def solve(texts: list, owners: list) -> list[tuple[int, int]]:
+        return joining_pairs(list(kernels.shingle_sets(texts, shingle)), owners, percent)
+
+    return resolve(rows.join(sizes, "bucket"), payload, lambda edges: tested(edges, docs, shingle, percent), solve)
+
+
+def joining_pairs(sets: list[np.ndarray], owners: list, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets at ``percent`` similarity or more that join the owners' components; every pair is compared.
+
+    Intersections are counted exactly: shingles that many sets hold by a product of 0/1 matrices, the others by the
+    pairs of sets that hold them.
+    """
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    times = np.diff([*starts.tolist(), len(flat)])
+    shared = np.zeros((n, n), np.float32)
+    common = np.flatnonzero(times > 32)
+    for c in range(0, len(common), 1024):
+        part = common[c : c + 1024]
+        ones = np.zeros((n, len(part)), np.float32)
+        for k, p in enumerate(part.tolist()):
+            ones[row[starts[p] : starts[p] + times[p]], k] = 1
+        shared += ones @ ones.T
+    for t in np.unique(times[(times > 1) & (times <= 32)]).tolist():
+        at = starts[times == t]
+        members = row[at[:, None] + np.arange(t)]
+        for i in range(t):
+            for j in range(i + 1, t):
+                np.add.at(shared, (members[:, i], members[:, j]), 1)
+                np.add.at(shared, (members[:, j], members[:, i]), 1)
+    size = np.array([len(s) for s in sets], np.float64)
+    union, out = Union(owners), []
+    for i in range(n):
+        near = np.flatnonzero(100 * shared[i, i + 1 :].astype(np.float64) >= percent * (size[i] + size[i + 1 :] - shared[i, i + 1 :])) + i + 1
+        out += [(i, j) for j in near.tolist() if union.join(i, j)]
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
