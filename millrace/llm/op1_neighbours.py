@@ -189,7 +189,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     def meet(asks: DataFrame) -> DataFrame:
         """Search each ask (query, vec, worst, leaf, sub) in its block; one row an ask."""
         counts = asks.groupBy("leaf", "sub").count().select("leaf", "sub", F.ceil(F.col("count") / QUERIES).cast("int").alias("groups"))
-        sized = spark.createDataFrame(pd.DataFrame({"leaf": leaves, "subs": subs}))
+        sized = spark.createDataFrame(list(zip(leaves.tolist(), subs.tolist(), strict=True)), "leaf long, subs long")
         blocks = classes.join(sized, "leaf").withColumn("sub", F.pmod(F.xxhash64("ids"), F.col("subs")))
         blocks = blocks.join(counts, ["leaf", "sub"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
         asks = asks.join(counts, ["leaf", "sub"]).withColumn("group", F.pmod(F.xxhash64("query"), F.col("groups")).cast("int"))
