@@ -52,7 +52,10 @@ def report(s1: DataFrame, kept: DataFrame, config: Config = Config()) -> DataFra
 
 
 def run_blocking(records: DataFrame, config: Config = Config(), sample: int | None = None, channels: tuple[str, ...] = tuple(LABELS)) -> DataFrame:
-    """The report over normalised records (src s1, s2, s3).  sample: the first so many S1 records of each country."""
+    """The report over normalised records (src s1, s2, s3), read from a table or staged: every channel scans them.
+
+    sample: the first so many S1 records of each country.
+    """
     s1 = records.where("src = 's1'")
     if sample is not None:
         first = Window.partitionBy("country_key").orderBy("entity_id")
