@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +16,37 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges up to which components are found in one task: 16 MB of ids.
+FEW = 1 << 20
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """node, component (its least node) for every node of ``edges`` (a, b).
 
-    Alternating large-star and small-star steps; each ends in a table in the shared folder.  The number of rounds is
-    logarithmic in the size of a component; a hub's neighbours meet in a partial aggregate and a join, never in one group.
+    At most ``few`` edges, by count, go through disjoint sets in one task.  More go through alternating large-star and
+    small-star steps, each of which ends in a table in the shared folder: the number of rounds is logarithmic in the
+    size of a component, and a hub's neighbours meet in a partial aggregate and a join, never in one group.
     """
     edges = store.materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    return store.materialise(_in_one_task(edges) if edges.count() <= few else _in_rounds(edges), "components")
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        pairs = [np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]) for b in batches if b.num_rows]
+        if pairs:
+            nodes, at = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+            union = Union(range(len(nodes)))
+            for i, j in at.reshape(2, -1).T.tolist():
+                union.join(i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[union.labels()])], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
     stamp = lambda e: tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first())
     seen = stamp(edges)
     while seen[0]:
