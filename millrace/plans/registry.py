@@ -379,7 +379,34 @@ def stratified_sample(spark, sf_dir):
     return sampling.stratified_sample(_countries(spark, sf_dir), 150, "doc_id")
 
 
-@query()
+_LEGAL = O.quoted(N.K.SUFFIX_REMOVE)
+_WORDS = "string_split(name_no_suffix, ' ')"
+_ODD = "regexp_matches({0}, '[^\\x00-\\x7F]')"
+_BAD = {
+    "q01_missing_columns": ("fail", "0"),
+    "q02_no_rows": ("warn", "CASE WHEN count(*) = 0 THEN 1 ELSE 0 END"),
+    "q03_duplicate_ids": ("fail", "count(entity_id) - count(DISTINCT entity_id)"),
+    "q04_name_sorted_order": ("fail", "count_if(list_sort(string_split(name_sorted, ' ')) <> string_split(name_sorted, ' '))"),
+    "q05_first2_length": ("fail", "count_if(len(string_split(name_first2, ' ')) > 2)"),
+    "q06_suffix_survivors": ("fail", f"count_if(list_has_any({_WORDS}, [{_LEGAL}]) AND NOT list_has_all([{_LEGAL}], {_WORDS}))"),
+    "q06_suffix_only_names": ("warn", f"count_if(list_has_any({_WORDS}, [{_LEGAL}]) AND list_has_all([{_LEGAL}], {_WORDS}))"),
+    "q07_ascii_transliterated": ("fail", f"count_if({_ODD.format('name_full')})"),
+    "q08_ascii_transliterated_no_suffix": ("fail", f"count_if({_ODD.format('name_transliterated_no_suffix')})"),
+    "q09_indic_sorted_empty": ("fail", "0"),
+    "q10_locality_ascii_tokens": ("fail", f"count_if({_ODD.format('locality_tokens')})"),
+    "q11_has_address_domain": ("fail", "count_if(has_address IS NULL)"),
+    "q12_pin_format": ("fail", "count_if(country = 'india' AND pin_code <> '' AND NOT regexp_full_match(pin_code, '[1-9][0-9]{5}'))"),
+    "q13_zip_format": ("fail", "count_if(country = 'us' AND zip_code <> '' AND NOT regexp_full_match(zip_code, '[0-9]{5}(?:-[0-9]{4})?'))"),
+    "q14_script_enum": ("fail", "0"),
+    "q15_name_full_separators": ("fail", "count_if(regexp_matches(name_full, '[|,]'))"),
+    "q16_ascii_address": ("fail", f"count_if({_ODD.format('address_transliterated')})"),
+}
+_REPORT = " UNION ALL ".join(
+    f"SELECT src, '{k}' AS \"check\", CAST({v} AS BIGINT) AS n_bad, CASE WHEN {v} > 0 THEN '{s}' ELSE 'pass' END AS severity FROM addresses GROUP BY src" for k, (s, v) in _BAD.items()
+)
+
+
+@query(O.with_(O.ADDRESSES, _REPORT))
 def dq_report(spark, sf_dir):
     """Q1 to Q16, Q18, Q20, by source."""
     return quality.quality_report(records(spark, sf_dir), ("src",))
