@@ -7,6 +7,8 @@ returns distinct (country_key, src, s1_id, target_id) pairs.  S2 and S3 go throu
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,7 +187,7 @@ def joined(df: DataFrame, columns: list[str]) -> Column:
 
 
 def top_similar(s1: DataFrame, targets: DataFrame, make, floor: float, config: Config, ask=None) -> DataFrame:
-    """PAIR and sim: exact cosine of weighted grams by an inverted-index join, the ``top_k`` of each entity, then the floor.
+    """PAIR and sim: exact cosine of weighted grams in blocks, the ``top_k`` of each entity, then the floor.
 
     ask: which of ``s1`` are queries; all of them count for the statistics, as the address channel needs.
     """
@@ -197,9 +199,69 @@ def top_similar(s1: DataFrame, targets: DataFrame, make, floor: float, config: C
     asking = q.where("asks").select("country_key", "src", "id")
     left = w.where("side = 'q'").join(asking, ["country_key", "src", "id"], "left_semi").select("country_key", "src", "gram", F.col("id").alias("s1_id"), F.col("w").alias("wq"))
     right = w.where("side = 't'").select("country_key", "src", "gram", F.col("id").alias("target_id"), F.col("w").alias("wt"))
-    sims = left.join(right, ["country_key", "src", "gram"]).groupBy(*PAIR).agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("sim"))
+    hits = block_similar(left, right, config.top_k)
     best = Window.partitionBy("country_key", "src", "s1_id").orderBy(F.desc("sim"), "target_id")
-    return sims.withColumn("n", F.row_number().over(best)).where(F.col("n") <= config.top_k).where(F.col("sim") >= floor).drop("n")
+    return hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= config.top_k).where(F.col("sim") >= floor).drop("n")
+
+
+#: Entities of one side that are compared in one task, and grams that are multiplied at once.
+SIDE, GRAMS = 1024, 4096
+
+
+def block_similar(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """PAIR and sim (9 digits): exact dot products of unit vectors, the k best of each entity within each block of targets.
+
+    Frequent grams are shared by nearly all entities of a country, so a join on grams makes a row for each shared gram of
+    each pair.  Blocks of both sides meet instead, and a task multiplies dense slices of bounded size.
+    """
+    keys = ["country_key", "src"]
+
+    def packed(side: DataFrame, id_col: str, w: str, block: str) -> DataFrame:
+        rows = side.groupBy(*keys, id_col).agg(F.collect_list("gram").alias("grams"), F.collect_list(w).alias("ws"))
+        sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / SIDE).cast("int").alias(f"n_{block}"))
+        return rows.join(sizes, keys).withColumn(block, F.pmod(F.xxhash64(id_col), F.col(f"n_{block}")).cast("int"))
+
+    q, t = packed(left, "s1_id", "wq", "qb"), packed(right, "target_id", "wt", "tb")
+    n_q, n_t = (x.select(*keys, f"n_{b}").distinct() for x, b in ((q, "qb"), (t, "tb")))
+    q = q.join(n_t, keys).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("n_tb") - 1)))
+    t = t.join(n_q, keys).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1)))
+    by = [*keys, "qb", "tb"]
+    q = q.select(*by, F.col("s1_id").alias("id"), "grams", "ws")
+    t = t.select(*[F.col(c).alias(f"t_{c}") for c in by], F.col("target_id").alias("id"), "grams", "ws")
+    return q.groupBy(*by).cogroup(t.groupBy(*[f"t_{c}" for c in by])).applyInPandas(lambda a, b: best_of_blocks(a, b, k), "country_key string, src string, s1_id string, target_id string, sim double")
+
+
+def best_of_blocks(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k most similar rows of b for each row of a."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"country_key": [], "src": [], "s1_id": [], "target_id": [], "sim": []})
+    b = b.sort_values("id", key=lambda s: s.str.encode("utf-8")).reset_index(drop=True)
+    codes, _ = pd.factorize(np.concatenate([*a["grams"], *b["grams"]]))
+    split = int(a["grams"].str.len().sum())
+    sides = []
+    for frame, gram in ((a, codes[:split]), (b, codes[split:])):
+        row = np.repeat(np.arange(len(frame)), frame["grams"].str.len())
+        sides.append((row, gram, np.concatenate(frame["ws"].tolist())))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    sims = np.zeros((len(a), len(b)))
+    for c in range(0, len(both), GRAMS):
+        part = both[c : c + GRAMS]
+        dense = []
+        for (row, gram, w), n in zip(sides, (len(a), len(b)), strict=True):
+            at = np.minimum(np.searchsorted(part, gram), len(part) - 1)
+            held = part[at] == gram
+            m = np.zeros((n, len(part)))
+            m[row[held], at[held]] = w[held]
+            dense.append(m)
+        sims += dense[0] @ dense[1].T
+    sims = np.round(sims, 9)
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    rows = np.repeat(np.arange(len(a)), top.shape[1])
+    value = sims[rows, top.ravel()]
+    keep = value > 0
+    rows, cols = rows[keep], top.ravel()[keep]
+    first = a.iloc[0]
+    return pd.DataFrame({"country_key": first["country_key"], "src": first["src"], "s1_id": a["id"].to_numpy()[rows], "target_id": b["id"].to_numpy()[cols], "sim": value[keep]})
 
 
 def channel_e(s1: DataFrame, targets: DataFrame, config: Config = Config()) -> DataFrame:
