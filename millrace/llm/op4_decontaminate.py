@@ -2,10 +2,10 @@
 
 Texts are sequences of lower-cased words without punctuation at their edges.  A mask marks which positions of a window
 of ``SPAN`` words count and which are ignored; each window is hashed under every mask, so that a hash of a test item
-and one of a document agree although words at ignored positions were substituted.  Around a hit both texts are compared
-word by word on the hit's diagonal, and the best-scoring stretch (match 1, substitution -2, ended where the score drops
-by ``DROP``) is the overlap.  A document is contaminated when an overlap has ``LEAST`` words or more, or covers an
-item shorter than that, with ``IDENTITY`` of its words equal at least.
+and one of a document agree although words at ignored positions were substituted.  Both texts are compared
+word by word along the hit's whole diagonal, and an overlap is any stretch of it that has ``LEAST`` words or more, or
+covers an item shorter than that, with ``IDENTITY`` of its words equal at least.  A document with an overlap is
+contaminated; the one with the most equal words is reported.
 
 Test items shorter than a window are hashed whole, without ignored positions.  The test hashes are sorted arrays that
 are broadcast while they have at most ``BROADCAST`` entries; larger test sets take the documents once for each slice of
@@ -25,7 +25,7 @@ from . import kernels, store
 
 #: 1 counts, 0 is ignored.  Each has 7 positions that count within 11 words.
 MASKS = ("11111110000", "11011010101", "10110110011", "11101000111")
-LEAST, IDENTITY, DROP = 13, 0.75, 6
+LEAST, IDENTITY = 13, 0.75
 BROADCAST = 4_000_000
 FOUND = "doc_id long, n_words long, contaminated boolean, item_id long, overlap long, matched long"
 EDGE = b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum() and not chr(c).isspace())
@@ -91,15 +91,14 @@ class Tests:
                 for k in range(a, b):
                     yield at, k
 
-    def overlap(self, h: np.ndarray, at: int, item: int, place: int) -> tuple[int, int, int]:
-        """(words, equal words, end in h) of the best stretch on the diagonal through h[at] and the item's ``place``."""
+    def overlap(self, h: np.ndarray, at: int, item: int, place: int) -> tuple[int, int]:
+        """(words, equal words) of the stretch with the most equal words that counts, on the whole diagonal through h[at]
+        and the item's ``place``; zeros if none counts."""
         w = self.words[item]
         back = min(at, place)
         n = min(len(h) - at, len(w) - place) + back
         same = h[at - back : at - back + n] == w[place - back : place - back + n]
-        right = _reach(same[back:])
-        left = _reach(same[:back][::-1])
-        return left + right, int(same[back - left : back + right].sum()), at + right
+        return _stretch(same, min(LEAST, len(w)))
 
     def best(self, h: np.ndarray) -> tuple[int, int, int] | None:
         """(equal words, words, least such item) of the best overlap that counts."""
@@ -108,22 +107,29 @@ class Tests:
             item, place = int(self.item[k]), int(self.place[k])
             if seen.get((item, at - place), -1) > at:
                 continue
-            n, equal, end = self.overlap(h, at, item, place)
-            seen[item, at - place] = end
-            if n >= min(LEAST, len(self.words[item])) and equal >= IDENTITY * n:
+            n, equal = self.overlap(h, at, item, place)
+            seen[item, at - place] = len(h)
+            if n:
                 top = max(top or (0, 0, 0), (equal, n, -self.ids[item]))
         return top and (top[0], top[1], -top[2])
 
 
-def _reach(same: np.ndarray) -> int:
-    """How far the best-scoring stretch from the start goes."""
-    score = np.cumsum(np.where(same, 1, -2))
-    if not len(score):
-        return 0
-    peak = np.maximum.accumulate(np.maximum(score, 0))
-    drop = np.flatnonzero(score < peak - DROP)
-    score = score[: drop[0]] if len(drop) else score
-    return int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
+def _stretch(same: np.ndarray, least: int) -> tuple[int, int]:
+    """(words, equal words) of the stretch with the most equal words among those of ``least`` words or more with
+    ``IDENTITY`` of them equal, without the unequal words at its ends that it can do without; zeros if there is none."""
+    if len(same) < least:
+        return 0, 0
+    total = np.concatenate(([0], np.cumsum(same)))
+    score = total - IDENTITY * np.arange(len(total))
+    low = np.minimum.accumulate(score)
+    ends = np.flatnonzero(score[least:] >= low[:-least]) + least
+    if not len(ends):
+        return 0, 0
+    starts = np.searchsorted(-low, -score[ends])
+    k = int(np.argmax(total[ends] - total[starts]))
+    a, b = int(starts[k]), int(ends[k])
+    kept = np.flatnonzero(same[a:b])
+    return max(int(kept[-1] - kept[0]) + 1, least), len(kept)
 
 
 def slices(items: DataFrame):

@@ -76,3 +76,28 @@ def test_masks_meet_substitutions():
         other = changed(words, set(rng.sample(range(24), 3)))
         missed += op.Tests([1], [" ".join(words)]).best(op.words([" ".join(other).encode()])[0]) is None
     assert missed <= 20
+
+
+def brute(same, least):
+    """(words at least, most equal words) of the stretches that meet the rule, by trying all."""
+    all_ = [sum(same[i:j]) for i in range(len(same)) for j in range(i + least, len(same) + 1) if sum(same[i:j]) >= 0.75 * (j - i)]
+    return max(all_, default=0)
+
+
+def test_stretch_is_the_stated_rule():
+    """Every stretch of 13 words with 75 % equal counts, wherever its substitutions are, and nothing else does."""
+    for trial in range(600):
+        n = rng.randint(0, 45)
+        same = [rng.random() < rng.choice([0.5, 0.75, 0.9]) for _ in range(n)]
+        words, equal = op._stretch(op.np.array(same, bool), 13)
+        assert equal == brute(same, 13), (trial, same)
+        assert words == 0 if not equal else words >= 13 and equal >= 0.75 * words
+
+
+def test_substitutions_near_the_ends():
+    """13 of 15 words equal, one substitution among the first three and one among the last three."""
+    words = [f"w{i}" for i in range(15)]
+    tests = op.Tests([1], [" ".join(words)])
+    for places in ({1, 13}, {2, 12}, {1, 12}):
+        h = op.words([" ".join(filler(9) + changed(words, places) + filler(9)).encode()])[0]
+        assert tests.best(h) == (13, 15, 1), places
