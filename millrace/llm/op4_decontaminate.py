@@ -102,13 +102,13 @@ class Tests:
 
     def best(self, h: np.ndarray) -> tuple[int, int, int] | None:
         """(equal words, words, least such item) of the best overlap that counts."""
-        top, seen = None, {}
+        top, seen = None, set()
         for at, k in self.hits(h):
             item, place = int(self.item[k]), int(self.place[k])
-            if seen.get((item, at - place), -1) > at:
+            if (item, at - place) in seen:
                 continue
             n, equal = self.overlap(h, at, item, place)
-            seen[item, at - place] = len(h)
+            seen.add((item, at - place))
             if n:
                 top = max(top or (0, 0, 0), (equal, n, -self.ids[item]))
         return top and (top[0], top[1], -top[2])

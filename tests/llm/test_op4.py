@@ -101,3 +101,13 @@ def test_substitutions_near_the_ends():
     for places in ({1, 13}, {2, 12}, {1, 12}):
         h = op.words([" ".join(filler(9) + changed(words, places) + filler(9)).encode()])[0]
         assert tests.best(h) == (13, 15, 1), places
+
+
+def test_hits_before_a_verified_stretch():
+    """Words 0 to 16 with every fourth replaced, which only later masks hit, before 8 verbatim words that mask 0 hits."""
+    words = [f"w{i}" for i in range(60)]
+    tests = op.Tests([1], [" ".join(words)])
+    h = op.words([" ".join(changed(words, {3, 7, 11, 15, *range(17, 22), *range(30, 60)})).encode()])[0]
+    places = [[at for at in range(17) if (op.spaced(h, m, t + 1) == op.spaced(tests.words[0], m, t + 1))[at]] for t, m in enumerate(op.MASKS)]
+    assert not places[0] and any(places[1:])
+    assert tests.best(h) == (13, 17, 1)
