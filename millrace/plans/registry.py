@@ -56,6 +56,8 @@ def name(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
 
 
 RAW = F.col
+#: All seven, D too, which SQL lacks.
+CHANNELS = tuple(H.LABELS)
 
 
 @query(O.with_(O.NAMES, f"SELECT entity_id, {O.dotted('business_name')} AS name FROM names"))
@@ -286,8 +288,8 @@ def chan_g_sorted(spark, sf_dir):
     return H.channel_g(*parts(spark, sf_dir))
 
 
-def union(s1, targets):
-    return C.union_hits(C.all_hits(s1, targets, channels=tuple(O.SQL_CHANNELS)))
+def union(s1, targets, channels=tuple(O.SQL_CHANNELS)):
+    return C.union_hits(C.all_hits(s1, targets, channels=channels))
 
 
 @query(O.with_(O.UNION, "SELECT country_key, s1_id, target_id, agreement, priority FROM u"))
@@ -296,8 +298,8 @@ def channel_union(spark, sf_dir):
     return union(*parts(spark, sf_dir)).select("country_key", "s1_id", "target_id", F.col("agreement").cast("long").alias("agreement"), "priority")
 
 
-def capped_report(s1, targets):
-    return C.report(s1, C.cap(staged(union(s1, targets))))
+def capped_report(s1, targets, channels=tuple(O.SQL_CHANNELS)):
+    return C.report(s1, C.cap(staged(union(s1, targets, channels))))
 
 
 @query(O.with_(O.CAPPED, "SELECT * FROM report"))
@@ -350,6 +352,40 @@ def recall_report(spark, sf_dir):
     return C.recall_report(capped_report(s1, targets).withColumn("row", number), truth(s1, targets).withColumn("row", number), "row")
 
 
+@query()
+def channel_union_seven(spark, sf_dir):
+    """AG4 to AG6, ST1, over all seven channels."""
+    return union(*parts(spark, sf_dir), CHANNELS).select("country_key", "s1_id", "target_id", F.col("agreement").cast("long").alias("agreement"), "priority")
+
+
+@query()
+def blocking_stats_seven(spark, sf_dir):
+    """AG8 over all seven channels."""
+    return C.blocking_stats(capped_report(*parts(spark, sf_dir), CHANNELS))
+
+
+@query()
+def pairs_completeness_seven(spark, sf_dir):
+    """E1, AG9, AG10, ST3 over all seven channels."""
+    s1, targets = parts(spark, sf_dir)
+    return C.completeness(staged(capped_report(s1, targets, CHANNELS)), truth(s1, targets), targets.agg(F.count("*").alias("n")))
+
+
+@query()
+def missed_pairs_seven(spark, sf_dir):
+    """ST4 over all seven channels."""
+    s1, targets = parts(spark, sf_dir)
+    return C.missed_pairs(capped_report(s1, targets, CHANNELS), truth(s1, targets))
+
+
+@query()
+def recall_report_seven(spark, sf_dir):
+    """E2 over all seven channels."""
+    number = F.monotonically_increasing_id()
+    s1, targets = parts(spark, sf_dir)
+    return C.recall_report(capped_report(s1, targets, CHANNELS).withColumn("row", number), truth(s1, targets).withColumn("row", number), "row")
+
+
 def _countries(spark, sf_dir):
     c = F.when(F.col("doc_id") % 11 == 0, F.lit(None)).otherwise(F.col("source")).alias("country")
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", c)

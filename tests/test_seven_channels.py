@@ -1,0 +1,52 @@
+"""The measures over all seven channels, against brute force on a small fixture."""
+
+import json
+from itertools import product
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.functions import phonetic
+from millrace.operators import channels as H
+from millrace.plans import registry
+
+TEXTS = {1: "smith", 3: "smith", 4: "smyth", 9: "knight", 10: "crestline energy", 12: "night", 13: "nite", 15: "smyth", 16: "smith", 21: "phox", 7: "faks"}
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    out = f"file://{tmp_path_factory.mktemp('seven')}"
+    spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{out}/documents.parquet")
+    return out
+
+
+def run(spark, folder, name):
+    return registry.QUERIES[name](spark, folder).collect()
+
+
+def test_union_and_measures(spark, folder):
+    s1, targets = (x.cache() for x in registry.parts(spark, folder))
+    keys = lambda df: {r["entity_id"]: (r["country_key"], set(r["codes"])) for r in df.select("entity_id", "country_key", phonetic.phonetic_codes(F.col("name_no_suffix")).alias("codes")).collect()}
+    a, b = keys(s1), keys(targets)
+    sound = {(x, y) for x, y in product(a, b) if a[x][0] == b[y][0] and a[x][1] & b[y][1]}
+    votes = {}
+    for label in registry.O.SQL_CHANNELS:
+        for pair in {(r["s1_id"], r["target_id"]) for r in H.CHANNELS[label](s1, targets, registry.C.Config()).collect()}:
+            votes[pair] = votes.get(pair, 0) + 1
+    assert sound - set(votes)  # found by sound only
+    for pair in sound:
+        votes[pair] = votes.get(pair, 0) + 1
+
+    assert {(r["s1_id"], r["target_id"]): r["agreement"] for r in run(spark, folder, "channel_union_seven")} == votes
+    report = run(spark, folder, "run_blocking")
+    listed = {(r["source1_entity_id"], t) for r in report for t in r["candidate_entity_ids"].split(",") if t}
+    assert listed == set(votes) and sum(json.loads(r["channel_tags"])["D"] for r in report) == len(sound)
+
+    true = {(r["source1_entity_id"], t) for r in registry.truth(s1, targets).collect() for t in r["matched_entity_ids"].split(",")}
+    assert {tuple(r) for r in run(spark, folder, "missed_pairs_seven")} == true - listed
+    got = run(spark, folder, "pairs_completeness_seven")[0]
+    assert (got["true_pairs"], got["covered_pairs"], got["reduction_ratio"]) == (len(true), len(true & listed), round(1 - len(listed) / (len(a) * len(b)), 9))
+    got = run(spark, folder, "recall_report_seven")[0]
+    assert (got["true_pairs"], got["found_pairs"]) == (len(true), len(true & listed))
+    got = run(spark, folder, "blocking_stats_seven")[0]
+    assert (got["n_total"], got["n_empty"]) == (len(a), len(set(a) - {x for x, _ in listed}))
