@@ -45,6 +45,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(entities(spark, sf_dir).withColumn("split", F.lit("train")), ascii_input=True)
 
 
+def whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised records of entities whose names are whole texts, in any script."""
+    return normalize(readers.whole_entities(spark, sf_dir).withColumn("split", F.lit("train")))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(S1 records, target records), normalised once behind a stage boundary."""
     all_records = staged(records(spark, sf_dir))
@@ -208,6 +213,24 @@ def script_counts(spark, sf_dir):
     return sinks.script_counts(sinks.subgroup_flags(records(spark, sf_dir)))
 
 
+@query()
+def normalized_records_whole(spark, sf_dir):
+    """PF1, PF2 over whole texts in their own letters."""
+    return whole_records(spark, sf_dir).select(*COLUMNS, "country_key", "src")
+
+
+@query()
+def subgroup_counts_whole(spark, sf_dir):
+    """AG13 over whole texts."""
+    return sinks.subgroup_counts(sinks.subgroup_flags(whole_records(spark, sf_dir)))
+
+
+@query()
+def script_counts_whole(spark, sf_dir):
+    """AG13's value counts over whole texts."""
+    return sinks.script_counts(sinks.subgroup_flags(whole_records(spark, sf_dir)))
+
+
 @query(O.with_(O.NAMES, "SELECT DISTINCT country_key FROM names"))
 def discover_countries(spark, sf_dir):
     """SC6."""

@@ -106,3 +106,21 @@ def derived_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("name", legal).alias("business_name"),
         F.when(d % 7 == 0, "").otherwise(address).alias("business_address"),
     )
+
+
+def whole_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``derived_entities`` with whole texts as names, in their own letters, case and punctuation; runs of
+    white space are one blank.  The address has the first word."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and doc_id is not null")
+    docs = docs.select("doc_id", F.trim(F.regexp_replace("text", "\\s+", " ")).alias("name")).where("name <> ''")
+    d = F.col("doc_id")
+    legal = F.when(d % 4 == 0, " Pvt. Ltd.").when(d % 4 == 1, " L.L.C.").when(d % 4 == 2, " Corp.").otherwise("")
+    place = F.when(d % 2 == 0, F.concat(F.lit("Fort Worth, TX "), (70000 + d % 50).cast("string"))).otherwise(F.concat(F.lit("Andheri, Mumbai, Maharashtra "), (400001 + d % 50).cast("string")))
+    address = F.concat((d % 40 + 1).cast("string"), F.lit(" "), F.substring_index("name", " ", 1), F.lit(" Road, "), place)
+    return docs.select(
+        d.cast("string").alias("entity_id"),
+        F.concat(F.lit("s"), (d % 3 + 1).cast("string")).alias("src"),
+        F.when(d % 2 == 0, "us").otherwise("india").alias("country"),
+        F.concat("name", legal).alias("business_name"),
+        F.when(d % 7 == 0, "").otherwise(address).alias("business_address"),
+    )

@@ -1,0 +1,19 @@
+"""Entities derived from whole texts, in their own letters."""
+
+from millrace.plans import registry
+
+START = "the same opening words of every one of these documents, "
+TEXTS = {2: START + "then Café Zürich", 4: START + "then Łódź", 5: "राम ट्रेडर्स", 6: " \n "}
+
+
+def test_whole_texts(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    rows = {r["entity_id"]: r for r in registry.QUERIES["normalized_records_whole"](spark, folder).collect()}
+    assert set(rows) == {"2", "4", "5"}
+    assert rows["2"]["name_no_suffix"].endswith("cafe zurich") and rows["2"]["name_sorted"] != rows["4"]["name_sorted"]
+    assert rows["2"]["raw_name"] == TEXTS[2] + " Corp."
+    assert rows["5"]["script_type"] in ("devanagari", "mixed") and rows["5"]["name_no_suffix"].isascii()
+    scripts = {r["script_type"]: r["n"] for r in registry.QUERIES["script_counts_whole"](spark, folder).collect()}
+    assert sum(scripts.values()) == 3 and scripts["latin"] == 2
+    assert registry.QUERIES["subgroup_counts_whole"](spark, folder).first()["n_non_latin"] == 1
