@@ -27,8 +27,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the curriculum takes them, repeated or cut to the sources' targets, in training order."""
-    return op8_mixing.mixed_documents(docs)
+    """Documents as the curriculum takes them, whole, and repeated to come near to the sources' targets, in training order."""
+    return op8_mixing.mixed_documents(docs, uncut=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,15 +102,18 @@ def schedule(docs: DataFrame, **options) -> DataFrame:
     return rows.withColumn("position", time_of(start, F.col("target"), F.col("slope")))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 8, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 8, uncut: bool = False, **options) -> DataFrame:
     """The documents as the mix takes them, range-sorted by position, with their own columns: a document taken twice is
-    two rows, and a copy that the mix cuts holds its first words only.
+    two rows, and a copy that the mix cuts holds its first words only.  uncut: such a copy is taken whole, or not at all
+    if that is nearer to the source's target; all texts then are as they were.
 
     Copies are planned on sizes alone and meet the texts once, by doc_id and key; rows that repeat both are told apart
     by a number that is only computed where there are any.
     """
     columns = docs.columns
     plan = schedule(docs, seed=seed, **options).select("doc_id", "key", "source", "place", "copy", "copy_words", "size", "position")
+    if uncut:
+        plan = plan.where("2 * copy_words >= size").withColumn("copy_words", F.col("size"))
     plan = store.materialise(plan, "schedule")
     rows = docs.select(F.col("doc_id").alias("_id"), mix_key(seed).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))

@@ -86,3 +86,16 @@ def test_empty(spark):
     assert op.plan_mix(docs).count() == 0 and op.mixed_documents(docs).count() == 0
     blank = spark.createDataFrame([(1, None, None)], "doc_id long, source string, text string")
     assert op.plan_mix(blank).first()["taken"] == 0
+
+
+def test_uncut(spark, rows):
+    """Every text is as it was, and each source ends at most half a document from its target."""
+    docs = [(1, "solo", "a\nb\tc  d\n" * 500), (2, "other", "x y\nz " * 900), *[(10 + i, "many", f"p{i} q\nr") for i in range(50)]]
+    own, want = targets(docs)
+    texts = {r[0]: r[2] for r in docs}
+    words = {}
+    for r in op.mixed_documents(frame(spark, docs), uncut=True).collect():
+        assert r["text"] == texts[r["doc_id"]]
+        words[r["source"]] = words.get(r["source"], 0) + size(r["text"])
+    for s, t in want.items():
+        assert abs(words.get(s, 0) - t) <= max(size(r[2]) for r in docs if r[1] == s) / 2 + 0.5
