@@ -180,8 +180,7 @@ class Config:
     """Settings of blocking; the defaults are the fixed values of the reference behaviour."""
 
     minhash_permutations: int = 64
-    minhash_bands: int = 18
-    minhash_rows: int = 2
+    minhash_threshold: float = 0.25
     shingle: int = 3
     gram_low: int = 2
     gram_high: int = 4

@@ -81,9 +81,22 @@ def base_clean(c: Column) -> Column:
     return F.when(is_null_text(c), F.lit("")).otherwise(s)
 
 
+def paired(a: Column, b: Column) -> Column:
+    """Structs (a, b) of two arrays of one length.
+
+    A lambda's body is evaluated for each element, with whatever is inlined into it; so lambdas here see elements only.
+    """
+    return F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+
+
+def with_previous(words: Column) -> Column:
+    """Structs of each word (a) and the one before (b), which is null for the first."""
+    return paired(words, F.slice(F.concat(F.array(F.lit(None).cast("string")), words), F.lit(1), F.size(words)))
+
+
 def dedup_consecutive(words: Column) -> Column:
     """Tokens that differ from the one before."""
-    return F.filter(words, lambda w, i: (i == 0) | (F.get(words, i - 1) != w))
+    return F.transform(F.filter(with_previous(words), lambda p: ~p["a"].eqNullSafe(p["b"])), lambda p: p["a"])
 
 
 def dedup_all(words: Column) -> Column:
@@ -97,21 +110,38 @@ def fix_ocr(words: Column, enabled: bool = True) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(r"\p{L}") & w.rlike(r"\p{Nd}"), F.translate(w, K.OCR_FROM, K.OCR_TO)).otherwise(w))
 
 
+def quoted(values) -> str:
+    """Texts as SQL literals."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
 def literal_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.expr(f"map({quoted(x for kv in values.items() for x in kv)})")
+
+
+def among(c: Column, values) -> Column:
+    """Whether a text is one of many: one literal instead of one for each value."""
+    return F.array_contains(F.expr(f"array({quoted(values)})"), c)
 
 
 def canonical_suffixes(words: Column, folded: Column | None = None) -> Column:
     """Legal words in canonical form.  folded: the same tokens without accents, where they have any."""
     table = literal_map(K.SUFFIX_CANON)
-    keys = words if folded is None else folded
-    return F.transform(words, lambda w, i: F.coalesce(F.try_element_at(table, F.get(keys, i)), w))
+    if folded is None:
+        return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
+    return F.zip_with(words, folded, lambda w, k: F.coalesce(F.try_element_at(table, k), w))
 
 
 def strip_suffixes(words: Column, folded: Column | None = None) -> Column:
     """Without legal words and numbers; the input itself if nothing is left."""
-    keys = words if folded is None else folded
-    left = F.filter(words, lambda w, i: ~F.get(keys, i).isin(K.SUFFIX_REMOVE) & ~F.get(keys, i).rlike(r"^\p{Nd}+$"))
+
+    def stays(key: Column) -> Column:
+        return ~among(key, K.SUFFIX_REMOVE) & ~key.rlike(r"^\p{Nd}+$")
+
+    if folded is None:
+        left = F.filter(words, stays)
+    else:
+        left = F.transform(F.filter(paired(words, folded), lambda p: stays(p["b"])), lambda p: p["a"])
     return F.when(F.size(left) == 0, words).otherwise(left)
 
 

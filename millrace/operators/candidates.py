@@ -51,16 +51,22 @@ def report(s1: DataFrame, kept: DataFrame, config: Config = Config()) -> DataFra
     return rows.select(F.col("s1_id").alias("source1_entity_id"), F.array_join(ids, ",").alias("candidate_entity_ids"), F.size(ids).cast("long").alias("n_candidates"), tags.alias("channel_tags"))
 
 
+def parts(records: DataFrame, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(S1 records, targets).  sample: the first so many S1 records of each country."""
+    s1 = records.where("src = 's1'")
+    if sample is not None:
+        first = Window.partitionBy("country_key").orderBy("entity_id")
+        s1 = s1.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).drop("_n")
+    return s1, records.where("src <> 's1'")
+
+
 def run_blocking(records: DataFrame, config: Config = Config(), sample: int | None = None, channels: tuple[str, ...] = tuple(LABELS)) -> DataFrame:
     """The report over normalised records (src s1, s2, s3), read from a table or staged: every channel scans them.
 
     sample: the first so many S1 records of each country.
     """
-    s1 = records.where("src = 's1'")
-    if sample is not None:
-        first = Window.partitionBy("country_key").orderBy("entity_id")
-        s1 = s1.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).drop("_n")
-    hits = all_hits(s1, records.where("src <> 's1'"), config, channels)
+    s1, targets = parts(records, sample)
+    hits = all_hits(s1, targets, config, channels)
     return report(s1, cap(union_hits(hits), config), config)
 
 

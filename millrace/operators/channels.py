@@ -2,19 +2,22 @@
 
 Each takes the query side ``s1`` and the target side ``targets`` (rows of one or more sources, column ``src``) and
 returns distinct (country_key, src, s1_id, target_id) pairs.  S2 and S3 go through one job.  Keys always start with
-(country_key, src); hot keys are left to AQE's skew join, and no key is dropped or capped.
+(country_key, src); hot keys are left to AQE's skew join, and no key is dropped or capped.  What is broadcast is the
+list of (country_key, src), measured first.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.constants import STOPWORDS, Config
-from millrace.functions.names import strip, tokens
-from millrace.functions.phonetic import phonetic_codes
+from millrace.functions.names import quoted, strip, tokens
+from millrace.functions.phonetic import coded
+from millrace.sources.staging import staged
 
 PAIR = ["country_key", "src", "s1_id", "target_id"]
 NAMES = ["name_no_suffix", "name_sorted", "name_first2", "name_transliterated_no_suffix"]
@@ -64,10 +67,20 @@ def channel_a_strong(s1: DataFrame, targets: DataFrame) -> DataFrame:
     return matched(q, t, ["key"])
 
 
+#: Rows up to which the list of (country_key, src) is broadcast.
+SOURCES = 100_000
+
+
+def source_list(targets: DataFrame) -> DataFrame:
+    """country_key, src of the targets, to be broadcast if it is as short as it should be."""
+    rows = targets.select("country_key", "src").distinct()
+    return F.broadcast(rows) if rows.limit(SOURCES + 1).count() <= SOURCES else rows
+
+
 def channel_a_fallback(s1: DataFrame, targets: DataFrame, strong: DataFrame) -> DataFrame:
     """Equal first locality token, for the entities that have no strong hit in the source."""
     q, t = sides(with_address(s1), targets, lambda df: [address_keys(df)[1].alias("key")])
-    q = q.where("key <> ''").join(F.broadcast(targets.select("country_key", "src").distinct()), "country_key")
+    q = q.where("key <> ''").join(source_list(targets), "country_key")
     q = q.join(strong.select("country_key", "src", "s1_id").distinct(), ["country_key", "src", "s1_id"], "left_anti")
     return q.join(t.where("key <> ''"), ["country_key", "src", "key"]).select(*PAIR).distinct()
 
@@ -79,7 +92,7 @@ def channel_a(s1: DataFrame, targets: DataFrame, config: Config = Config()) -> D
 
 def name_tokens(df: DataFrame) -> Column:
     words = tokens(F.lower(F.concat_ws(" ", *[text(df, c) for c in NAMES])))
-    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in STOPWORDS]))
+    return F.array_except(F.array_distinct(words), F.expr(f"array({quoted(STOPWORDS)})"))
 
 
 def token_weights(targets: DataFrame) -> DataFrame:
@@ -106,12 +119,50 @@ def shingles(name: Column, k: int) -> Column:
     return F.array_distinct(windows(s, k))
 
 
-def minhash_bands(name: Column, config: Config) -> Column:
-    """One text a band: the least md5 of (permutation : shingle) of each of its permutations."""
-    grams = shingles(name, config.shingle)
-    low = lambda i: F.array_min(F.transform(grams, lambda g: F.substring(F.md5(F.concat(F.lit(f"{i}:"), g)), 1, 16)))
-    used = range(config.minhash_bands)
-    return F.array(*[F.concat_ws("-", F.lit(str(b)), *[low(b * config.minhash_rows + r) for r in range(config.minhash_rows)]) for b in used])
+#: Shingle codes and permutations are taken modulo this prime.
+PRIME = (1 << 31) - 1
+
+
+@functools.cache
+def lsh_parameters(threshold: float, permutations: int) -> tuple[int, int]:
+    """(bands, rows) of at most ``permutations`` values in all that err least: the chance to miss a pair above the threshold
+    plus the chance to take one below it, integrated over similarity."""
+    x = np.linspace(0, 1, 1001)
+    low, high = x <= threshold, x >= threshold
+
+    def error(bands: int, rows: int) -> float:
+        found = 1 - (1 - x**rows) ** bands
+        return float(np.trapezoid(found[low], x[low]) + np.trapezoid(1 - found[high], x[high]))
+
+    return min(((b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1)), key=lambda p: (error(*p), p))
+
+
+@functools.cache
+def multipliers(n: int, seed: int = 1) -> tuple[list[int], list[int]]:
+    """Factors and terms of n permutations x -> (a * x + b) mod PRIME."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(1, PRIME, n).tolist(), rng.integers(0, PRIME, n).tolist()
+
+
+def gram_code(gram: Column, n: int) -> Column:
+    """Characters of a gram of at most n as one number."""
+    out = F.lit(0).cast("long")
+    for i in range(1, n + 1):
+        out = (out * F.lit(1114112) + F.ascii(F.substring(gram, i, 1))) % F.lit(PRIME)
+    return out
+
+
+def minhash_bands(codes: Column, config: Config) -> Column:
+    """(band, key) of the least permuted gram codes; the parameters follow from the threshold and the permutations."""
+    bands, rows = lsh_parameters(config.minhash_threshold, config.minhash_permutations)
+    a, b = multipliers(bands * rows)
+    low = lambda i: F.array_min(F.transform(codes, lambda x: (x * F.lit(a[i]) + F.lit(b[i])) % F.lit(PRIME)))
+
+    def key(band: int) -> Column:
+        own = [low(band * rows + r) for r in range(rows)]
+        return own[0] if rows == 1 else own[0] * F.lit(PRIME) + own[1] if rows == 2 else F.xxhash64(*own)
+
+    return F.array(*[F.struct(F.lit(i).alias("band"), key(i).alias("key")) for i in range(bands)])
 
 
 def channel_c(s1: DataFrame, targets: DataFrame, config: Config = Config()) -> DataFrame:
@@ -122,18 +173,24 @@ def channel_c(s1: DataFrame, targets: DataFrame, config: Config = Config()) -> D
         return [F.explode(F.array_distinct(F.array(*[strip(text(df, c)) for c in columns]))).alias("name")]
 
     q, t = (side.where("name <> ''") for side in sides(s1, targets, make))
-    names = q.select("name").unionByName(t.select("name")).distinct().select("name", F.explode(minhash_bands(F.col("name"), config)).alias("band"))
-    return matched(q.join(names, "name").drop("name").distinct(), t.join(names, "name").drop("name").distinct(), ["band"])
+    names = q.select("name").unionByName(t.select("name")).distinct()
+    names = names.select("name", F.transform(shingles(F.col("name"), config.shingle), lambda g: gram_code(g, config.shingle)).alias("codes"))
+    names = names.select("name", F.inline(minhash_bands(F.col("codes"), config)))
+    return matched(q.join(names, "name").drop("name").distinct(), t.join(names, "name").drop("name").distinct(), ["band", "key"])
 
 
 def channel_d(s1: DataFrame, targets: DataFrame, config: Config = Config()) -> DataFrame:
-    """A shared Double Metaphone code of any name token."""
+    """A shared Double Metaphone code of any name token; distinct tokens are coded once."""
 
     def make(df: DataFrame):
-        return [F.concat_ws(" ", text(df, "name_no_suffix"), text(df, "name_transliterated_no_suffix")).alias("name")]
+        words = tokens(F.lower(F.concat_ws(" ", text(df, "name_no_suffix"), text(df, "name_transliterated_no_suffix"))))
+        return [F.explode(F.array_distinct(words)).alias("token")]
 
-    q, t = (side.withColumn("code", F.explode(phonetic_codes(F.col("name")))).drop("name").distinct() for side in sides(s1, targets, make))
-    return matched(q, t, ["code"])
+    q, t = sides(s1, targets, make)
+    both = q.select("country_key", F.lit(None).cast("string").alias("src"), F.col("s1_id").alias("id"), "token").unionByName(t.select("country_key", "src", F.col("target_id").alias("id"), "token"))
+    keyed = coded(both).drop("token").distinct()
+    a = keyed.where("src is null").select("country_key", F.col("id").alias("s1_id"), "code")
+    return matched(a, keyed.where("src is not null").withColumnRenamed("id", "target_id"), ["code"])
 
 
 def windows(s: Column, n: int) -> Column:
@@ -159,17 +216,17 @@ def char_grams(value: Column, low: int, high: int) -> Column:
 def gram_weights(texts: DataFrame, config: Config) -> DataFrame:
     """texts (keys, side, id, text) to (keys, side, id, gram, w): sublinear tf times smoothed idf, unit length.
 
-    The vocabulary is the ``max_features`` grams of greatest total count in each (country_key, src).
+    ``gram`` is the gram's rank by total count in its (country_key, src); the vocabulary is the ``max_features`` first.
     """
     keys = ["country_key", "src"]
     tf = texts.select(*keys, "side", "id", F.explode(char_grams(F.col("text"), config.gram_low, config.gram_high)).alias("gram"))
     tf = tf.groupBy(*keys, "side", "id", "gram").agg(F.count("*").alias("tf"))
     stats = tf.groupBy(*keys, "gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     top = Window.partitionBy(*keys).orderBy(F.desc("total"), "gram")
-    stats = stats.withColumn("n", F.row_number().over(top)).where(F.col("n") <= config.max_features).drop("n", "total")
+    stats = stats.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= config.max_features).drop("total")
     n = texts.groupBy(*keys).agg(F.count("*").alias("n"))
-    idf = stats.join(n, keys).select(*keys, "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    rows = tf.join(idf, [*keys, "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    idf = stats.join(n, keys).select(*keys, "gram", "rank", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    rows = tf.join(idf, [*keys, "gram"]).select(*keys, "side", "id", F.col("rank").alias("gram"), ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = rows.groupBy(*keys, "side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return rows.join(norm, [*keys, "side", "id"]).select(*keys, "side", "id", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
@@ -193,75 +250,121 @@ def top_similar(s1: DataFrame, targets: DataFrame, make, floor: float, config: C
     """
     q = s1.select("country_key", F.col("entity_id").alias("id"), make(s1).alias("text"), (ask(s1) if ask else F.lit(True)).alias("asks")).where("text <> ''")
     t = targets.select("country_key", "src", F.lit("t").alias("side"), F.col("entity_id").alias("id"), make(targets).alias("text")).where("text <> ''")
-    q = q.join(F.broadcast(t.select("country_key", "src").distinct()), "country_key")
+    q = q.join(source_list(t), "country_key")
     both = q.select("country_key", "src", F.lit("q").alias("side"), "id", "text").unionByName(t)
-    w = gram_weights(both, config)
+    w = gram_weights(both, config).groupBy("country_key", "src", "side", "id").agg(F.collect_list(F.struct("gram", "w")).alias("v"))
     asking = q.where("asks").select("country_key", "src", "id")
-    left = w.where("side = 'q'").join(asking, ["country_key", "src", "id"], "left_semi").select("country_key", "src", "gram", F.col("id").alias("s1_id"), F.col("w").alias("wq"))
-    right = w.where("side = 't'").select("country_key", "src", "gram", F.col("id").alias("target_id"), F.col("w").alias("wt"))
-    hits = block_similar(left, right, config.top_k)
+    w = staged(w.select("country_key", "src", "side", "id", F.col("v.gram").alias("grams"), F.col("v.w").alias("ws")))
+    left = w.where("side = 'q'").join(asking, ["country_key", "src", "id"], "left_semi")
+    hits = block_similar(left, w.where("side = 't'"), config.top_k)
     best = Window.partitionBy("country_key", "src", "s1_id").orderBy(F.desc("sim"), "target_id")
     return hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= config.top_k).where(F.col("sim") >= floor).drop("n")
 
 
-#: Entities of one side that are compared in one task, and grams that are multiplied at once.
-SIDE, GRAMS = 1024, 4096
+#: Targets that a task holds, queries that pass by at once, and queries of one task.
+HELD, PASSING, ASKED = 4096, 256, 1 << 16
+SIMILAR = "country_key string, src string, s1_id string, target_id string, sim double"
 
 
 def block_similar(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """PAIR and sim (9 digits): exact dot products of unit vectors, the k best of each entity within each block of targets.
 
     Frequent grams are shared by nearly all entities of a country, so a join on grams makes a row for each shared gram of
-    each pair.  Blocks of both sides meet instead, and a task multiplies dense slices of bounded size.
+    each pair.  Instead a task holds a block of ``HELD`` targets by gram, and the queries of the country stream past it:
+    targets move once, queries once for each block.  Work is the shared grams of each pair, without rows.
     """
     keys = ["country_key", "src"]
 
-    def packed(side: DataFrame, id_col: str, w: str, block: str) -> DataFrame:
-        rows = side.groupBy(*keys, id_col).agg(F.collect_list("gram").alias("grams"), F.collect_list(w).alias("ws"))
-        sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / SIDE).cast("int").alias(f"n_{block}"))
-        return rows.join(sizes, keys).withColumn(block, F.pmod(F.xxhash64(id_col), F.col(f"n_{block}")).cast("int"))
-
-    q, t = packed(left, "s1_id", "wq", "qb"), packed(right, "target_id", "wt", "tb")
-    n_q, n_t = (x.select(*keys, f"n_{b}").distinct() for x, b in ((q, "qb"), (t, "tb")))
-    q = q.join(n_t, keys).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("n_tb") - 1)))
-    t = t.join(n_q, keys).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1)))
-    by = [*keys, "qb", "tb"]
-    q = q.select(*by, F.col("s1_id").alias("id"), "grams", "ws")
-    t = t.select(*[F.col(c).alias(f"t_{c}") for c in by], F.col("target_id").alias("id"), "grams", "ws")
-    return q.groupBy(*by).cogroup(t.groupBy(*[f"t_{c}" for c in by])).applyInPandas(lambda a, b: best_of_blocks(a, b, k), "country_key string, src string, s1_id string, target_id string, sim double")
-
-
-def best_of_blocks(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k most similar rows of b for each row of a."""
-    if not len(a) or not len(b):
-        return pd.DataFrame({"country_key": [], "src": [], "s1_id": [], "target_id": [], "sim": []})
-    b = b.sort_values("id", key=lambda s: s.str.encode("utf-8")).reset_index(drop=True)
-    codes, _ = pd.factorize(np.concatenate([*a["grams"], *b["grams"]]))
-    split = int(a["grams"].str.len().sum())
-    sides = []
-    for frame, gram in ((a, codes[:split]), (b, codes[split:])):
-        row = np.repeat(np.arange(len(frame)), frame["grams"].str.len())
-        sides.append((row, gram, np.concatenate(frame["ws"].tolist())))
-    both = np.intersect1d(sides[0][1], sides[1][1])
-    sims = np.zeros((len(a), len(b)))
-    for c in range(0, len(both), GRAMS):
-        part = both[c : c + GRAMS]
-        dense = []
-        for (row, gram, w), n in zip(sides, (len(a), len(b)), strict=True):
-            at = np.minimum(np.searchsorted(part, gram), len(part) - 1)
-            held = part[at] == gram
-            m = np.zeros((n, len(part)))
-            m[row[held], at[held]] = w[held]
-            dense.append(m)
-        sims += dense[0] @ dense[1].T
-    sims = np.round(sims, 9)
-    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(a)), top.shape[1])
-    value = sims[rows, top.ravel()]
-    keep = value > 0
-    rows, cols = rows[keep], top.ravel()[keep]
-    first = a.iloc[0]
-    return pd.DataFrame({"country_key": first["country_key"], "src": first["src"], "s1_id": a["id"].to_numpy()[rows], "target_id": b["id"].to_numpy()[cols], "sim": value[keep]})
+    def dealt(side: DataFrame, by: str, size: int) -> tuple[DataFrame, DataFrame]:
+        n = side.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(f"n_{by}"))
+        return side.join(n, keys).withColumn(by, F.pmod(F.xxhash64("id"), F.col(f"n_{by}")).cast("int")).drop(f"n_{by}"), n
+
+    q, n_q = dealt(left, "qb", ASKED)
+    t, n_t = dealt(right, "tb", HELD)
+    q = q.join(n_t, keys).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("n_tb") - 1))).drop("n_tb")
+    t = t.join(n_q, keys).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1))).drop("n_qb")
+    columns = [*keys, "qb", "tb", "asks", "id", "grams", "ws"]
+    rows = t.withColumn("asks", F.lit(0)).select(*columns).unionByName(q.withColumn("asks", F.lit(1)).select(*columns))
+    rows = rows.repartition(*keys, "qb", "tb").sortWithinPartitions(*keys, "qb", "tb", "asks", "id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [*keys, "s1_id", "target_id", "sim"]
+        held: list = []
+        block = key = None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:6]]
+            own = list(zip(*columns[:4], strict=True))
+            parts = [(batch.column(i).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(i).offsets.to_numpy())) for i in (6, 7)]
+            at = np.concatenate(([0], np.cumsum(parts[0][1])))
+            cut = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1] or columns[4][i] != columns[4][i - 1]), len(own)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if own[a] != key:
+                    key, held, block = own[a], [], None
+                if columns[4][a] == 0:
+                    held.append((columns[5][a:b], parts[0][0][at[a] : at[b]], parts[1][0][at[a] : at[b]], np.diff(at[a : b + 1])))
+                    continue
+                block = block or Held(held)
+                for i in range(a, b, PASSING):
+                    j = min(i + PASSING, b)
+                    row, col, sim = block.best(parts[0][0][at[i] : at[j]], parts[1][0][at[i] : at[j]], np.diff(at[i : j + 1]), k)
+                    if len(row):
+                        asked, ids = columns[5][i:j], block.ids
+                        found = [[key[0]] * len(row), [key[1]] * len(row), [asked[r] for r in row.tolist()], [ids[c] for c in col.tolist()], sim]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in found[:4]), pa.array(found[4])], names=names)
+
+    return rows.mapInArrow(run, SIMILAR)
+
+
+class Held:
+    """A block of sparse unit vectors by gram."""
+
+    def __init__(self, parts: list):
+        self.ids = [i for p in parts for i in p[0]]
+        grams, ws, sizes = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)) if parts else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        row = np.repeat(np.arange(len(self.ids)), sizes)
+        order = np.argsort(grams, kind="stable")
+        self.row, self.w = row[order], ws[order]
+        self.grams, self.starts = np.unique(grams[order], return_index=True)
+        self.sizes = np.diff(np.append(self.starts, len(order)))
+        # grams that more than an eighth of the block has are multiplied as a dense matrix
+        self.dense = np.flatnonzero(self.sizes > max(8, len(self.ids) // 8))
+        self.matrix = np.zeros((len(self.dense), len(self.ids)))
+        for i, g in enumerate(self.dense.tolist()):
+            part = slice(self.starts[g], self.starts[g] + self.sizes[g])
+            self.matrix[i, self.row[part]] = self.w[part]
+        self.place = np.full(len(self.grams), -1)
+        self.place[self.dense] = np.arange(len(self.dense))
+
+    def best(self, grams: np.ndarray, ws: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, target, similarity) of the k most similar targets with a shared gram of each query; ties to the first."""
+        n, m = len(sizes), len(self.ids)
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if not n or not len(self.grams):
+            return none
+        row = np.repeat(np.arange(n), sizes)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        own = self.grams[at] == grams
+        row, at, w = row[own], at[own], ws[own]
+        place = self.place[at]
+        thick = place >= 0
+        left = np.zeros((n, len(self.dense)))
+        left[row[thick], place[thick]] = w[thick]
+        sims = left @ self.matrix
+        row, at, w = row[~thick], at[~thick], w[~thick]
+        count = self.sizes[at]
+        spread = np.repeat(np.arange(len(at)), count)
+        entry = np.arange(len(spread)) - np.repeat(np.cumsum(count) - count, count) + self.starts[at][spread]
+        sims += np.bincount(row[spread] * m + self.row[entry], weights=w[spread] * self.w[entry], minlength=n * m).reshape(n, m)
+        sims = np.round(sims, 9)
+        least = np.partition(sims, m - k, axis=1)[:, m - k] if m > k else np.zeros(n)
+        row, col = np.nonzero((sims >= least[:, None]) & (sims > 0))
+        sim = sims[row, col]
+        order = np.lexsort((col, -sim, row))
+        row, col, sim = row[order], col[order], sim[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        return row[rank < k], col[rank < k], sim[rank < k]
 
 
 def channel_e(s1: DataFrame, targets: DataFrame, config: Config = Config()) -> DataFrame:

@@ -25,10 +25,22 @@ def sample_targets(counts: DataFrame, sample_size: int) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, sample_size: int, id_col: str = "entity_id", seed: int = 42) -> DataFrame:
-    """``df`` cut to each country's share, by the order of a seeded hash: the same rows on every run."""
+    """``df`` cut to each country's share, by the order of a seeded hash: the same rows on every run.
+
+    A country's rows below a bound on the hash, chosen so that about twice its share and 64 rows pass, are ranked; only
+    where fewer than the share pass (by chance, or with many equal ids) are all its rows.  So no task sorts a country.
+    """
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
     rows = df.withColumns({"_c": F.coalesce("country", F.lit(MISSING)), "_h": key})
-    targets = sample_targets(country_counts(df), sample_size)
-    rows = rows.join(F.broadcast(targets.withColumnRenamed("country", "_c")), "_c")
+    counts = country_counts(df)
+    targets = sample_targets(counts, sample_size).join(counts, "country")
+    share = F.least(F.lit(1.0), (2 * F.col("target") + 64) / F.col("n"))
+    bounds = targets.select(F.col("country").alias("_c"), F.col("target").alias("_target"), F.lpad(F.hex(F.floor(share * F.lit(float(1 << 48))).cast("long")), 13, "0").alias("_bound"))
+    near = rows.join(bounds, "_c").withColumn("_p", F.concat(F.lit("0"), F.upper(F.substring("_h", 1, 12))))
+    passed = near.where(F.col("_p") < F.col("_bound"))
+    short = passed.groupBy("_c").agg(F.count("*").alias("_n"))
+    short = bounds.join(short, "_c", "left").where(F.coalesce("_n", F.lit(0)) < F.col("_target")).select("_c")
+    rest = near.where(F.col("_p") >= F.col("_bound")).join(short, "_c", "left_semi")
     order = Window.partitionBy("_c").orderBy("_h", id_col)
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("target")).select(*df.columns).orderBy(F.md5(F.col(id_col).cast("string")))
+    kept = passed.unionByName(rest).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("_target"))
+    return kept.select(*df.columns).orderBy(F.md5(F.col(id_col).cast("string")))

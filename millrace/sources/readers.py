@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +19,13 @@ def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """A tab-separated file with a header, all text, missing values folded to the empty string.
 
-    columns: those wanted, so that nothing is inferred; absent ones are added empty.
+    columns: those wanted, so that nothing is inferred; absent ones are added empty.  multi_line: quoted fields hold line
+    feeds; such a file can't be split, so it is one task.
     """
-    reader = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     df = reader.csv(path)
     df = df.toDF(*[c.strip() for c in df.columns])
     return with_columns(df, columns or df.columns)
@@ -51,13 +55,28 @@ def load_processed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_partition(spark: SparkSession, root: str, split: str, country: str) -> DataFrame:
-    """Normalised records of one country of a layout partitioned by (split, country_key, src): the scan is pruned."""
+    """Normalised records of one country of a layout partitioned by (split, country_key, src): the scan is pruned.
+
+    Warns where the layout has no such partition; the table is empty then."""
     key = spark.range(1).select(slug(F.lit(country))).first()[0]
+    if key not in partition_names(spark, f"{root}/split={split}", "country_key"):
+        warnings.warn(f"no partition {split}/{key} below {root}", stacklevel=2)
     return spark.read.parquet(root).where((F.col("split") == split) & (F.col("country_key") == key))
 
 
+def partition_names(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column, from the names of the folders in ``path``: no data is read."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [x.getPath().getName() for x in files.listStatus(place) if x.isDirectory()]
+    return sorted(unquote(n.split("=", 1)[1]) for n in names if n.startswith(f"{column}="))
+
+
 def discover_countries(df: DataFrame) -> DataFrame:
-    """country_key of every partition, sorted."""
+    """country_key of every partition, sorted.  Of a stored layout ``partition_names`` lists them without a scan."""
     return df.select("country_key").distinct().orderBy("country_key")
 
 
@@ -72,55 +91,67 @@ def head_of_each(df: DataFrame, n: int, by: list[str], order: list[str]) -> Data
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+#: Words of the names and addresses that ``derived_entities`` writes in Devanagari, and as Latin spellings.
+INDIC_FIRST = ["श्री", "राम", "गणेश", "भारत", "नगर"]
+LATIN_FIRST = ["Shri", "Ram", "Ganesh", "Bharat", "Nagar"]
+INDIC_KIND = ["ट्रेडर्स", "स्टील", "लिमिटेड"]
+LATIN_KIND = ["Traders", "Steel", "Limited"]
+LEGAL = [" Pvt. Ltd.", " L.L.C.", " Corp.", " & Co", ""]
+ACCENTED, PLAIN = "éèêóñüäöçí", "eeeonuaoci"
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _listed(values: list[str], i: str) -> str:
+    """SQL for values[i % len(values)], in both dialects."""
+    return "CASE " + " ".join(f"WHEN {i} % {len(values)} = {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+def entity_sql(source: str, title: str, div: str, first: str) -> str:
+    """SELECT of the entities that each page gives, one a source, in SQL that Spark and DuckDB share.
+
+    source: relation of the pages.  title: expression of the whole title.  div: integer division by {0} of the id.
+    first: expression of the first word of t.
+    """
+    tens = div.format("pid", 5)
+    indic = f"{_listed(INDIC_FIRST, 'pid')} || ' ' || {_listed(INDIC_FIRST, tens)} || ' ' || {_listed(INDIC_KIND, 'pid')}"
+    latin = f"{_listed(LATIN_FIRST, 'pid')} || ' ' || {_listed(LATIN_FIRST, tens)} || ' ' || {_listed(LATIN_KIND, 'pid')}"
+    number, code = "CAST(pid % 90 + 1 AS STRING)", "CAST({0} + pid % 500 AS STRING)"
+    names = {
+        0: f"CASE WHEN pid % 7 = 2 THEN {indic} ELSE t || {_listed(LEGAL, 'pid')} END",
+        1: f"""CASE WHEN pid % 7 = 2 THEN {indic} WHEN pid % 4 = 0 THEN translate(t, '{LOWER}', '{UPPER}') || ' LIMITED' WHEN pid % 4 = 1 THEN rest || ' ' || w
+               WHEN pid % 4 = 2 THEN w || '.com ' || rest ELSE t || ' & Sons Private Limited' END""",
+        2: f"""CASE WHEN pid % 13 = 12 THEN reverse(t) WHEN pid % 7 = 2 THEN {latin} WHEN pid % 3 = 0 THEN substr(translate(t, '{ACCENTED}', '{PLAIN}'), 1, 2) || substr(translate(t, '{ACCENTED}', '{PLAIN}'), 4)
+               WHEN pid % 3 = 1 THEN t || ' लिमिटेड' ELSE 'M/s ' || t || ' (Regd)' END""",
+    }
+    zip_code, pin = code.format(70000), code.format(400001)
+    addresses = {
+        0: ("{n} || ' ' || w || ' Road, Fort Worth, TX ' || {z}", "{n} || ', ' || w || ' Nagar, Andheri, Mumbai, Maharashtra ' || {p}", "w || ', Plateau, Abidjan'"),
+        1: ("'Suite ' || {n} || ', ' || w || ' St, Fort Worth, Texas'", "w || ' Nagar, Andheri East, Mumbai, महाराष्ट्र ' || {p}", "w || ', Plateau, Abidjan 1'"),
+        2: ("'Fort Worth, TX ' || {z} || '-1234, ' || {n} || ' ' || w || ' Road'", "'मुंबई, Flat ' || {n} || ', ' || w || ' Road, उत्तर प्रदेश'", "{n} || ' Rue ' || w || ', Abidjan'"),
+    }
+    parts = []
+    for k in (0, 1, 2):
+        us, india, other = (x.format(n=number, z=zip_code, p=pin) for x in addresses[k])
+        missing = "pid % 9 = 4 OR pid % 13 = 12" if k == 2 else "pid % 9 = 4"
+        parts.append(f"""SELECT CAST(pid * 3 + {k} AS STRING) AS entity_id, 's{k + 1}' AS src, CASE WHEN pid % 5 < 2 THEN 'US' WHEN pid % 5 < 4 THEN 'India' ELSE 'Côte d''Ivoire' END AS country,
+  {names[k]} AS business_name, CASE WHEN {missing} THEN '' WHEN pid % 9 = 5 THEN {"'NULL'" if k == 1 else "''"} WHEN pid % 5 < 2 THEN {us} WHEN pid % 5 < 4 THEN {india} ELSE {other} END AS business_address FROM titled""")
+    return f"""titles AS (SELECT page_id AS pid, {title} AS t FROM {source} WHERE page_id IS NOT NULL AND html IS NOT NULL),
+titled AS (SELECT pid, t, w, trim(substr(t, length(w) + 1)) AS rest FROM (SELECT pid, t, {first} AS w FROM titles)),
+entities AS ({" UNION ALL ".join(parts)})"""
+
+
 #: DuckDB SQL for ``derived_entities``.
-DERIVED_SQL = r"""
-base AS (
-  SELECT CAST(doc_id AS VARCHAR) AS entity_id, doc_id % 3 AS n, CASE WHEN doc_id % 2 = 0 THEN 'us' ELSE 'india' END AS country,
-         substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' +', ' ', 'g')), 1, 40) AS name, doc_id
-  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
-), entities AS (
-  SELECT entity_id, 's' || CAST(n + 1 AS VARCHAR) AS src, country,
-         trim(name) || CASE doc_id % 4 WHEN 0 THEN ' Pvt. Ltd.' WHEN 1 THEN ' L.L.C.' WHEN 2 THEN ' Corp.' ELSE '' END AS business_name,
-         CASE WHEN doc_id % 7 = 0 THEN '' ELSE
-           CAST(doc_id % 40 + 1 AS VARCHAR) || ' ' || substr(trim(name), 1, 8) || ' Road, '
-           || CASE WHEN doc_id % 2 = 0 THEN 'Fort Worth, TX ' || CAST(70000 + doc_id % 50 AS VARCHAR)
-                   ELSE 'Andheri, Mumbai, Maharashtra ' || CAST(400001 + doc_id % 50 AS VARCHAR) END END AS business_address
-  FROM base WHERE trim(name) <> ''
-)"""
+DERIVED_SQL = entity_sql("pages", "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))", "({0} // {1})", "split_part(t, ' ', 1)").replace("STRING", "VARCHAR")
 
 
 def derived_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_id, src, country, business_name, business_address derived from the documents table: names from the start of
-    the text, addresses from the id."""
-    text = F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " +", " ")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and doc_id is not null")
-    docs = docs.select("doc_id", F.trim(F.substring(F.trim(text), 1, 40)).alias("name")).where("name <> ''")
-    d = F.col("doc_id")
-    legal = F.when(d % 4 == 0, " Pvt. Ltd.").when(d % 4 == 1, " L.L.C.").when(d % 4 == 2, " Corp.").otherwise("")
-    place = F.when(d % 2 == 0, F.concat(F.lit("Fort Worth, TX "), (70000 + d % 50).cast("string"))).otherwise(F.concat(F.lit("Andheri, Mumbai, Maharashtra "), (400001 + d % 50).cast("string")))
-    address = F.concat((d % 40 + 1).cast("string"), F.lit(" "), F.substring("name", 1, 8), F.lit(" Road, "), place)
-    return docs.select(
-        d.cast("string").alias("entity_id"),
-        F.concat(F.lit("s"), (d % 3 + 1).cast("string")).alias("src"),
-        F.when(d % 2 == 0, "us").otherwise("india").alias("country"),
-        F.concat("name", legal).alias("business_name"),
-        F.when(d % 7 == 0, "").otherwise(address).alias("business_address"),
-    )
-
-
-def whole_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of ``derived_entities`` with whole texts as names, in their own letters, case and punctuation; runs of
-    white space are one blank.  The address has the first word."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and doc_id is not null")
-    docs = docs.select("doc_id", F.trim(F.regexp_replace("text", "\\s+", " ")).alias("name")).where("name <> ''")
-    d = F.col("doc_id")
-    legal = F.when(d % 4 == 0, " Pvt. Ltd.").when(d % 4 == 1, " L.L.C.").when(d % 4 == 2, " Corp.").otherwise("")
-    place = F.when(d % 2 == 0, F.concat(F.lit("Fort Worth, TX "), (70000 + d % 50).cast("string"))).otherwise(F.concat(F.lit("Andheri, Mumbai, Maharashtra "), (400001 + d % 50).cast("string")))
-    address = F.concat((d % 40 + 1).cast("string"), F.lit(" "), F.substring_index("name", " ", 1), F.lit(" Road, "), place)
-    return docs.select(
-        d.cast("string").alias("entity_id"),
-        F.concat(F.lit("s"), (d % 3 + 1).cast("string")).alias("src"),
-        F.when(d % 2 == 0, "us").otherwise("india").alias("country"),
-        F.concat("name", legal).alias("business_name"),
-        F.when(d % 7 == 0, "").otherwise(address).alias("business_address"),
-    )
+    """entity_id, src, country, business_name, business_address: three entities of each page, one a source.
+
+    The name is the page's whole title in its own letters, in another form for each source: with legal words, in
+    capitals, in another order, without accents and a letter, with words in Devanagari, or wholly in Devanagari.
+    Addresses are American, Indian (some with native states) or neither, and some are missing.  entity_id is
+    3 * page_id + 0, 1 or 2, so entities of one page are the true matches.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    sql = entity_sql("{pages}", r"trim(regexp_extract(html, '<title>([^<]*)</title>', 1))", "({0} div {1})", "substring_index(t, ' ', 1)")
+    return spark.sql(f"WITH {sql} SELECT * FROM entities", pages=pages)

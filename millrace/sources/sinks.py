@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.normalize import COLUMNS
+
 FLAGS = ["entity_id", "country", "script_type", "is_domain_name", "has_address"]
 
 
@@ -46,9 +48,25 @@ def script_counts(flags: DataFrame) -> DataFrame:
     return flags.groupBy("script_type").agg(F.count("*").alias("n"))
 
 
-def save_processed(records: DataFrame, root: str) -> None:
-    """stage1 (partitioned by split, country_key and src), and under meta the summary, the flags and their counts."""
-    records.repartition("split", "country_key", "src").write.mode("overwrite").partitionBy("split", "country_key", "src").parquet(f"{root}/stage1")
+def save_stage0(records: DataFrame, truth: DataFrame | None, root: str) -> None:
+    """stage0: normalised records of each source of each split, before the split by country, and the ground truth, as TSV."""
+    for split in ("train", "test"):
+        for n in (1, 2, 3):
+            rows = records.where((F.col("split") == split) & (F.col("src") == f"s{n}"))
+            save_tsv(rows.select(*COLUMNS), f"{root}/stage0/{split}_source{n}")
+    if truth is not None:
+        save_tsv(truth, f"{root}/stage0/train_ground_truth")
+
+
+def save_processed(records: DataFrame, root: str, truth: DataFrame | None = None) -> None:
+    """stage0, stage1 (partitioned by split, country_key and src), and under meta the summary, the flags and their counts.
+
+    ``records`` is a stored table: it is read several times.  Partitions are balanced at run time, so that a large country
+    is several tasks and files.
+    """
+    save_stage0(records, truth, root)
+    balanced = records.hint("rebalance", "split", "country_key", "src")
+    balanced.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy("split", "country_key", "src").parquet(f"{root}/stage1")
     summary_json(records).coalesce(1).write.mode("overwrite").json(f"{root}/meta/partition_summary")
     save_tsv(subgroup_flags(records), f"{root}/meta/subgroup_flags")
 

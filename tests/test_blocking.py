@@ -29,24 +29,24 @@ def found(df):
 
 
 def test_channel_a(spark):
-    target = table(spark, {"entity_id": "A1", "pin_code": "400001", "street_num": "5", "locality_tokens": "andheri nagar"})
-    s1 = table(spark, {"entity_id": "p", "pin_code": "400001"}, {"entity_id": "s", "street_num": "5", "locality_tokens": "Andheri main"}, {"entity_id": "f", "locality_tokens": "andheri x"}, {"entity_id": "n", "pin_code": "400001", "has_address": "False"}, {"entity_id": "o", "pin_code": "400001", "country_key": "fr"})
+    target = table(spark, {"entity_id": "A1", "pin_code": "422001", "street_num": "5", "locality_tokens": "kothrud nagar"})
+    s1 = table(spark, {"entity_id": "p", "pin_code": "422001"}, {"entity_id": "s", "street_num": "5", "locality_tokens": "Kothrud main"}, {"entity_id": "f", "locality_tokens": "kothrud x"}, {"entity_id": "n", "pin_code": "422001", "has_address": "False"}, {"entity_id": "o", "pin_code": "422001", "country_key": "fr"})
     strong = H.channel_a_strong(s1, target)
     assert found(strong) == {("p", "A1"), ("s", "A1")}
     assert found(H.channel_a_fallback(s1, target, strong)) == {("f", "A1")}
 
 
 def test_channel_b(spark):
-    target = table(spark, name("X1", "apex summit trading"), name("X2", "apex global"), *[name(f"d{i}", f"dummy company {i}") for i in range(10)])
-    s1 = table(spark, name("q", "apex summit"))
+    target = table(spark, name("X1", "heron mill paper"), name("X2", "heron coast"), *[name(f"d{i}", f"filler entry {i}") for i in range(10)])
+    s1 = table(spark, name("q", "heron mill"))
     assert found(H.channel_b(s1, target)) == {("q", "X1")}
-    few = table(spark, name("X1", "apex summit trading"))
+    few = table(spark, name("X1", "heron mill paper"))
     assert found(H.channel_b(s1, few)) == set()
 
 
 def test_similar_channels(spark):
-    target = table(spark, name("M1", "crestline clean energy"), name("P1", "smith trading"), name("F1", "ferrero rocher chocolate"), name("G1", "bitwise moore"))
-    s1 = table(spark, name("c", "crestline clean energi"), name("d", "smyth works"), name("e", "ferrero rocher sweets"), name("g", "moore bitwise"), name("z", "different name"))
+    target = table(spark, name("M1", "juniper gale dynamo"), name("P1", "smith lumber"), name("F1", "marlin harbor ferry"), name("G1", "alder wren"))
+    s1 = table(spark, name("c", "juniper gale dynamos"), name("d", "smyth quarry"), name("e", "marlin harbor boats"), name("g", "wren alder"), name("z", "quite unlike"))
     assert ("c", "M1") in found(H.channel_c(s1, target))
     assert ("d", "P1") in found(H.channel_d(s1, target))
     assert {("e", "F1"), ("c", "M1"), ("g", "G1")} <= found(H.channel_e(s1, target))
@@ -99,7 +99,7 @@ def test_sampling(spark):
 @pytest.fixture(scope="module")
 def records(spark):
     raw = spark.createDataFrame(
-        [("1", "Apex Summit Pvt. Ltd.", "100 Main St, Springfield, IL 62701", "us", "s1"), ("2", "राम ट्रेडर्स", "Pune, Maharashtra 411001", "India", "s2"), (" 3 ", None, None, None, "s3")],
+        [("1", "Heron Mill Pvt. Ltd.", "52 Elm St, Peoria, IL 61602", "us", "s1"), ("2", "राम स्टील", "Nashik, Maharashtra 422009", "India", "s2"), (" 3 ", None, None, None, "s3")],
         "entity_id string, business_name string, business_address string, country string, src string",
     )
     return staged(normalize(raw.withColumn("split", F.lit("train"))))
@@ -108,8 +108,8 @@ def records(spark):
 def test_records(records):
     rows = {r["entity_id"]: r for r in records.collect()}
     assert set(COLUMNS) <= set(records.columns)
-    assert (rows["1"]["name_no_suffix"], rows["1"]["zip_code"], rows["1"]["country_key"]) == ("apex summit", "62701", "us")
-    assert (rows["2"]["script_type"], rows["2"]["name_full"], rows["2"]["name_ascii"]) == ("devanagari", "राम ट्रेडर्स", "")
+    assert (rows["1"]["name_no_suffix"], rows["1"]["zip_code"], rows["1"]["country_key"]) == ("heron mill", "61602", "us")
+    assert (rows["2"]["script_type"], rows["2"]["name_full"], rows["2"]["name_ascii"]) == ("devanagari", "राम स्टील", "")
     assert rows["2"]["name_no_suffix"].isascii() and rows["2"]["name_no_suffix"].startswith("rama")
     assert (rows["3"]["name_full"], rows["3"]["has_address"], rows["3"]["country_key"]) == ("", False, "unknown")
 
@@ -127,12 +127,36 @@ def test_layout(spark, records, tmp_path):
     assert spark.read.option("header", True).option("sep", "\t").csv(f"{root}/cands/candidate_pairs_debug").count() == 1
 
 
+def test_similar_blocks():
+    rng = __import__("numpy").random.default_rng(3)
+    np = __import__("numpy")
+    dense = rng.random((60, 40)) * (rng.random((60, 40)) < 0.2)
+    dense[:, 0] = rng.random(60)  # a gram that all have
+    dense[7] = dense[3]
+    parts = lambda m: [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in m]
+    flat = lambda p: (np.concatenate([g for g, _ in p]), np.concatenate([w for _, w in p]), np.array([len(g) for g, _ in p]))
+    ids = [f"{i:02d}" for i in range(40)]
+    g, w, n = flat(parts(dense[:40]))
+    held = H.Held([(ids, g, w, n)])
+    row, col, sim = held.best(*flat(parts(dense[40:])), 5)
+    truth = np.round(dense[40:] @ dense[:40].T, 9)
+    want = [(q, int(t), truth[q, t]) for q in range(20) for t in np.lexsort((np.arange(40), -truth[q]))[:5] if truth[q, t] > 0]
+    assert [(int(a), int(b)) for a, b in zip(row, col)] == [x[:2] for x in want] and np.allclose(sim, [x[2] for x in want])
+
+
+def test_lsh_parameters():
+    assert H.lsh_parameters(0.25, 64) == (18, 2)
+    bands, rows = H.lsh_parameters(0.8, 64)
+    assert bands * rows <= 64 and rows > 4
+
+
 def test_quality(records):
     checks = {r["check"]: r["severity"] for r in quality.quality_report(records).collect()}
     assert "fail" not in checks.values(), checks
     bad = records.withColumn("pin_code", F.lit("012345")).withColumn("name_sorted", F.lit("b a"))
     report = quality.quality_report(bad)
     checks = {r["check"]: r["severity"] for r in report.collect()}
+    assert {r["check"]: r["sample"] for r in report.collect()}["q12_pin_format"] == ["2"]
     assert checks["q12_pin_format"] == checks["q04_name_sorted_order"] == "fail" and quality.verdict(report) == 1
     assert {r["check"]: r["severity"] for r in quality.quality_report(records.drop("zip_code")).collect()}["q01_missing_columns"] == "fail"
 

@@ -9,7 +9,7 @@ import pytest
 from millrace.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FEW = ["suffix_strip", "address_fields", "chan_a_fallback", "chan_b_idf", "chan_e_tfidf_topk", "cap_candidates", "sample_targets"]
+FEW = [n for n in registry.ORACLE_SQL if n not in ("run_blocking", "blocking_stats", "recall_report", "channel_union")]
 
 
 def rows(frame):
