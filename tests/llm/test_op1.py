@@ -58,3 +58,30 @@ def test_empty_and_extra_columns(spark):
 def test_stopping_value():
     assert abs(op.chi_square_cdf(op.critical(0.95, 8), 8) - 0.95) < 1e-9
     assert abs(op.critical(0.95, 8) - 15.507) < 1e-2
+
+
+def test_many_leaves_blocks_and_stopping(spark):
+    """16 leaves or more, several blocks a leaf, far fewer points verified than there are, and recall against brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 32)) * 2
+    x = (centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 32)) * 0.5).astype(np.float32)
+    table = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], SCHEMA)
+    rows = op.nearest(table, lambda i: i % 50 == 0, leaf_rows=128, block_bytes=64 * 8 * (32 + op.PROJECTED)).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 4000, 50):
+        cos = unit @ unit[q]
+        cos[q] = -9
+        hit += len({r["vec_id"] for r in rows if r["query_id"] == q} & set(np.argsort(-cos, kind="stable")[:5].tolist()))
+    assert hit >= 0.9 * 5 * 80
+    verified = {r["query_id"]: r["verified"] for r in rows}
+    assert len(verified) == 80 and sum(verified.values()) < 0.3 * 80 * 4000
+
+
+def test_a_search_stops():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 32))
+    x[:50] = x[0] + rng.standard_normal((50, 32)) * 0.05
+    block = op.Block([[i] for i in range(2000)], x, 24)
+    found, verified = block.search(x[0], op.project(x[:1], 24)[0], 6, -1.0, op.critical(0.95, 24))
+    assert {i for _, i in found} <= set(range(50)) and verified <= 200
