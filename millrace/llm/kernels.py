@@ -10,17 +10,22 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 _powers: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps.
+KEPT_POWERS = (1 << 22) + 1
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n, modulo 2**64."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        for key, base in (("up", BASE), ("down", INVERSE)):
-            row = np.full(size, base, U64)
-            row[0] = 1
-            _powers[key] = np.multiply.accumulate(row)
+    def table(base: int, size: int) -> np.ndarray:
+        row = np.full(size, base, U64)
+        row[0] = 1
+        return np.multiply.accumulate(row)
+
+    if n > KEPT_POWERS:  # not kept for the life of a worker
+        return table(BASE, n), table(INVERSE, n)
+    if len(_powers.get("up", ())) < n:
+        size = min(KEPT_POWERS, max(n, 1 << 20))
+        _powers["up"], _powers["down"] = table(BASE, size), table(INVERSE, size)
     return _powers["up"][:n], _powers["down"][:n]
 
 
@@ -91,12 +96,35 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
-def word_hashes(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every lower-cased word of every text, in order, and for each text where its words start."""
+#: Bytes that are hashed at once; a longer run goes in segments that end at white space.
+SEGMENT = 1 << 22
+WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def word_hashes(run: list[bytes], blank: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every lower-cased word of every text, in order, and for each text where its words start.
+
+    blank: which bytes separate words.  Memory beyond the run itself is that of a segment, or of the longest word.
+    """
     data, starts = joined(run)
-    data = lower(data)
-    begin, end = runs(~space(data))
-    return range_hash(prefix_hash(data), begin, end), np.searchsorted(begin, starts)
+    hashes, begins = [], []
+    a = 0
+    while a < len(data):
+        b = min(len(data), a + SEGMENT)
+        if b < len(data):
+            gap = np.flatnonzero(blank[data[a:b]])
+            step = SEGMENT
+            while not len(gap) and b < len(data):  # a word that fills the segment
+                step *= 2
+                b = min(len(data), a + step)
+                gap = np.flatnonzero(blank[data[a:b]])
+            b = a + int(gap[-1]) + 1 if len(gap) else b
+        part = lower(data[a:b])
+        begin, end = runs(~blank[part])
+        hashes.append(range_hash(prefix_hash(part), begin, end))
+        begins.append(begin + a)
+        a = b
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), starts)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

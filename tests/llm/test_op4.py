@@ -57,9 +57,11 @@ def test_filter_and_slices(tables, monkeypatch):
     docs, items = tables
     clean = op.decontaminated(docs, items)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [5, 5, 6, 7, 8, 11]
-    monkeypatch.setattr(op, "BROADCAST", 10)
-    assert len(list(op.slices(items))) > 2
-    assert op.overlaps(docs, items).where("contaminated").count() == 7
+    whole = sorted(map(str, op.overlaps(docs, items).collect()))
+    monkeypatch.setattr(op, "SLICE", 40)
+    assert op.sliced(items)[1] > 2
+    assert sorted(map(str, op.overlaps(docs, items).collect())) == whole
+    assert sorted(r["doc_id"] for r in op.decontaminated(docs, items).collect()) == [5, 5, 6, 7, 8, 11]
 
 
 def test_empty(spark, tables):
@@ -111,3 +113,38 @@ def test_hits_before_a_verified_stretch():
     places = [[at for at in range(17) if (op.spaced(h, m, t + 1) == op.spaced(tests.words[0], m, t + 1))[at]] for t, m in enumerate(op.MASKS)]
     assert not places[0] and any(places[1:])
     assert tests.best(h) == (13, 17, 1)
+
+
+def test_against_brute_force():
+    """All diagonals of all pairs, seeds compared word by word: the operator finds these overlaps and no others."""
+    few = VOCAB[:40]
+    items = [[rng.choice(few) for _ in range(rng.choice([4, 11, 14, 25]))] for _ in range(12)]
+    docs = []
+    for _ in range(60):
+        own = rng.choice(items)
+        part = changed(own, set(rng.sample(range(len(own)), rng.randint(0, len(own) // 3))))
+        docs.append([rng.choice(few) for _ in range(rng.randint(0, 12))] + part + [rng.choice(few) for _ in range(rng.randint(0, 12))])
+    tests = op.Tests(list(range(len(items))), [" ".join(x) for x in items])
+    for doc in docs:
+        want = None
+        for i, item in enumerate(items):
+            for diagonal in range(-len(item) + 1, len(doc)):
+                a, b = max(0, diagonal), max(0, -diagonal)
+                same = [x == y for x, y in zip(doc[a:], item[b:], strict=False)]
+                span = min(len(item), 11)
+                masks = op.MASKS if len(item) >= 11 else ["1" * span]
+                seeded = any(all(same[p + k] for k, c in enumerate(m) if c == "1") for m in masks for p in range(len(same) - span + 1))
+                equal = brute(same, min(13, len(item))) if seeded else 0
+                if equal:
+                    want = max(want or (0, 0), (equal, -i))
+        got = tests.best(op.words([" ".join(doc).encode()])[0])
+        assert (got and (got[0], -got[2])) == want, doc
+        assert bool(tests.best(op.words([" ".join(doc).encode()])[0], first=True)) == bool(want)
+
+
+def test_long_text_in_segments(monkeypatch):
+    text = " ".join(filler(3000) + ["x" * 500] + ITEM + filler(3000)).encode()
+    whole = op.words([text, b"", text[:50]])
+    monkeypatch.setattr(op.kernels, "SEGMENT", 64)
+    parts = op.words([text, b"", text[:50]])
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
