@@ -106,35 +106,67 @@ def resolve(rows: DataFrame, payload: DataFrame, test: Callable[[DataFrame], Dat
     return components(found.unionByName(store.materialise(more, "links")))
 
 
+#: Bytes of a block's payloads.
+HELD = 1 << 24
+
+
 def compared(members: DataFrame, payload: DataFrame, solve: Callable) -> DataFrame:
-    """Links (a, b) found by ``solve`` in each pair of blocks of each group; members: group, doc, own, n (the group's size)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own, other = F.pmod(F.xxhash64("doc"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = members.select("group", "doc", "own", own.alias("block"), other.alias("other"))
-    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "own").join(payload, "doc")
-    rows = rows.select("group", "i", "j", "doc", "own", "value").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "doc")
+    """Links (a, b) found by ``solve`` in each pair of blocks of each group; members: group, doc, own, n (the group's size).
 
-    def run(batches):
+    A block has at most about ``BLOCK`` members and ``HELD`` bytes.  Each member's payload is written once, to a table
+    partitioned by block; a task of a pair of blocks gets their names and loads the two.  So a group of many blocks
+    multiplies rows of names and reads, not shuffled payloads.
+    """
+    spark = members.sparkSession
+    rows = members.select("group", "doc", "own").join(payload, "doc")
+    size = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("value")) / HELD)).cast("int").alias("blocks"))
+    rows = rows.join(size, "group").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    few = rows.where("blocks = 1").drop("blocks").withColumns({"i": F.lit(0), "j": F.lit(0)})
+    several = store.materialise(rows.where("blocks > 1"), "blocks")
+    path = store.new_path(spark, "block-files")
+    pairs = None
+    if not several.isEmpty():
+        name = F.xxhash64("group", "block").alias("name")
+        several.withColumn("name", name).repartition("name").write.partitionBy("name").parquet(path)
+        one = several.select("group", "block").distinct()
+        other = one.select(F.col("group").alias("g"), F.col("block").alias("b"))
+        both = one.join(other, (F.col("group") == F.col("g")) & (F.col("block") <= F.col("b")))
+        pairs = both.select(F.xxhash64("group", "block").alias("i"), F.xxhash64("g", "b").alias("j")).repartition("i", "j")
+    few = few.select("group", "doc", "own", "value").repartition("group").sortWithinPartitions("group", "doc")
+
+    def found(held: list[tuple]):
         import pyarrow as pa
 
-        key, held = None, []
-
-        def solved():
-            pairs = solve([v for _, _, v in held], [o for _, o, _ in held]) if len({o for _, o, _ in held}) > 1 else []
-            a, b = ([held[p[k]][0] for p in pairs] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        links = solve([v for _, _, v in held], [o for _, o, _ in held]) if len({o for _, o, _ in held}) > 1 else []
+        a, b = ([held[p[k]][0] for p in links] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    def within(batches):
+        key, held = None, []
         for batch in batches:
-            for group, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (group, i, j) != key:
+            for group, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != key:
                     if held:
-                        yield solved()
-                    key, held = (group, i, j), []
+                        yield found(held)
+                    key, held = group, []
                 held.append(tuple(row))
         if held:
-            yield solved()
+            yield found(held)
+
+    def across(batches):
+        def block(name: int) -> list[tuple]:
+            from pyarrow import dataset
+
+            files, top = store.filesystem(path)
+            table = dataset.dataset(f"{top}/name={name}", filesystem=files, format="parquet").to_table(columns=["doc", "own", "value"])
+            return sorted(zip(*(table.column(c).to_pylist() for c in ("doc", "own", "value")), strict=True))
+
+        for batch in batches:
+            for i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield found(block(i) if i == j else block(i) + block(j))
 
-    return rows.mapInArrow(run, "a long, b long")
+    links = few.mapInArrow(within, "a long, b long")
+    return links if pairs is None else links.unionByName(pairs.mapInArrow(across, "a long, b long"))
 
 
 class Union:

@@ -188,10 +188,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the least of their component, with their own columns; of rows that repeat an id one stays."""
-    kept = near_duplicates(docs, shingle, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    found = store.materialise(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+    again = kept.groupBy("_kept").count().where("count > 1").select("_kept")
+    rows = docs.join(kept.distinct(), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    if not again.isEmpty():  # only rows of repeated ids are ranked
+        twice = F.col("doc_id").cast("long") == F.col("_kept")
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        first = rows.join(again, twice, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        rows = rows.join(again, twice, "left_anti").unionByName(first)
     return rows.unionByName(docs.where("doc_id is null"))
 
 

@@ -45,9 +45,10 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small, so that long documents don't fill a worker."""
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 25) -> None:
+    """Keep Arrow batches of whole texts small, in rows and in bytes, so that long documents don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def filesystem(uri: str):
