@@ -1,8 +1,9 @@
 """Steps that scan the documents again and look up what earlier steps found, without shuffling a text.
 
-Scanned rows are (file, doc, key, text): a hash of the input file's name, the doc_id, a hash of the text, the text.
-What a step finds for a file is a table in the shared folder that is partitioned by ``file``; a task loads the part of
-the file that it scans, whatever its splits are.
+Scanned rows are (file, doc, key, text): a hash of the input file's name and of the run of ``UNIT`` rows in it, the
+doc_id, a hash of the text, the text.  What a step finds for such a unit is a table in the shared folder that is
+partitioned by ``file``; a task loads the parts of the units that it scans, whatever its splits are and however large
+the files.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from . import kernels, store
 
 NO_ID = -(1 << 63)
+#: Rows of an input file, as a power of two, whose findings are one part; input bytes that one bucket of hashes is for.
+UNIT, BUCKET = 14, 1 << 27
 
 
 def scanned(docs: DataFrame, stored: bool) -> DataFrame:
@@ -23,9 +26,16 @@ def scanned(docs: DataFrame, stored: bool) -> DataFrame:
 
     stored: ``docs`` is a plain scan of files; otherwise it is first written to the shared folder.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base if stored else store.materialise(base, "documents")
-    return base.select(F.xxhash64(F.input_file_name()).alias("file"), "doc", F.xxhash64("text").alias("key"), "text")
+    columns = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")]
+    base = docs.select(*columns, "_metadata") if stored else store.materialise(docs.select(*columns), "documents")
+    unit = F.xxhash64(F.col("_metadata.file_path"), F.shiftright(F.col("_metadata.row_index"), UNIT))
+    return base.select(unit.alias("file"), "doc", F.xxhash64("text").alias("key"), "text")
+
+
+def bucket_number(rows: DataFrame) -> int:
+    """How many buckets hashes of these rows are dealt to: it grows with the input, so a bucket doesn't."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
 
 
 def occurrence(doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:

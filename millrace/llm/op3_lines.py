@@ -12,7 +12,9 @@ share; a second scan brings the lines that hold such keys.  The lines of a key a
 pairs (``components.resolve``), and a pair is verified by banded bit-parallel edit distance, many pairs at a time.
 
 Null and empty texts have no lines.  Rows that repeat both doc_id and text are one document with one result each; a
-null doc_id comes first in the order.  Other columns are ignored; an empty table gives no rows.
+null doc_id comes first in the order.  Equal and near lines of one document are ties that the place settles.  A very
+long text is one run of its own: a worker holds about 30 bytes for each of its characters.  Other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels, store
 from .components import Union, resolve
-from .files import NO_ID, Lookup, buckets_of, by_file, concatenated, file_runs, member, occurrence, scanned
+from .files import NO_ID, Lookup, bucket_number, buckets_of, by_file, concatenated, file_runs, member, occurrence, scanned
 
 EDITS, LEAST = 2, 24
 GROUP = 512
@@ -168,7 +170,7 @@ def first_pass(rows: DataFrame, n: int, edits: int, least: int) -> DataFrame:
             k, line, index = k[new], line[new], index[new]
             same = (k[2:] == k[:-2]) & (index[2:] == index[:-2])  # two lines of a key and kind tell all that is asked
             keep = np.concatenate((np.ones(min(2, len(k)), bool), ~same))
-            parts = [k[keep], (line[keep] << np.uint64(1) | index[keep]).astype(np.uint32)]
+            parts = [k[keep], line[keep] << np.uint64(1) | index[keep]]  # 63 bits tell lines apart
             out += [(1, b, file, *blobs, None, None, None) for b, *blobs in buckets_of(parts, parts[0], n)]
             held.clear()
             keyed.clear()
@@ -197,10 +199,10 @@ def first_pass(rows: DataFrame, n: int, edits: int, least: int) -> DataFrame:
         if frame["kind"].iloc[0] == 0:
             columns = {"doc": np.int64, "key": np.int64, "place": np.int32, "n": np.int32}
             return pd.DataFrame({"kind": 0, "file": file, "h": h.astype(np.int64), **{c: concatenated(frame[c], t).astype(np.int64) for c, t in columns.items()}})
-        mark = concatenated(frame["doc"], np.uint32)
+        mark = concatenated(frame["doc"], np.uint64)
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-        index, line = (mark[order] & 1).astype(bool), mark[order] >> 1
+        index, line = (mark[order] & np.uint64(1)).astype(bool), mark[order] >> np.uint64(1)
         low, high = np.minimum.reduceat(line, starts), np.maximum.reduceat(line, starts)
         shared = (low < high) & np.logical_or.reduceat(index, starts) & np.logical_or.reduceat(~index, starts)
         keep = np.zeros(len(h), bool)
@@ -354,7 +356,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, stored:
     spark = docs.sparkSession
     store.arrow_batches(spark)
     rows = scanned(docs, stored)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = bucket_number(rows)
     found = store.materialise(first_pass(rows, n, edits, least), "lines")
     lines = found.where("kind = 0").drop("kind")
     shared = by_file(found.where("kind = 1").select("file", "h"), "keys")

@@ -6,7 +6,8 @@ the bytes they span.  So windows are compared within anchors only, in steps that
 sorted:
 
 1. Anchors that occur once in the corpus are out: hashes, distinct in each piece of input, meet in hash buckets.
-2. Contexts of the other anchors are compared as wholes: all but the first occurrence are repeats throughout.
+2. Contexts of the other anchors are compared as wholes, by a 128-bit digest of their bytes (blake2b): all but the first
+   occurrence are repeats throughout.
 3. First occurrences of different contexts of one anchor may share some windows.  A sieve of window hashes finds the
    contexts that do; these are cut to the shared stretch, the stretch that all of them contain becomes one symbol, and
    the suffix array of the group is built by linear grouping along Lyndon prefixes (``lyndon``).  Windows that are
@@ -16,7 +17,8 @@ sorted:
 Order is by document (doc_id, then a hash of the text), then place.  No text is ever shuffled: each step scans the
 documents again and looks up what it needs in a table of the shared folder that is partitioned by input file, so
 neither lost executors nor other splits change anything.  An anchor with more than ``HOT`` different contexts (a very
-common passage) is no single task: its windows are compared by hash in an aggregate that combines before the shuffle.
+common passage) is no single task: its windows are compared by a 128-bit digest of their bytes in an aggregate that
+combines before the shuffle.  The polynomial hashes only sort out what can't be equal.
 
 Null and empty texts have no bytes and keep the hash of the empty string.  Rows that repeat both doc_id and text are
 one document and get the same result.  A null doc_id comes first in the order.  Other columns are ignored; an empty
@@ -33,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels, lyndon, store
-from .files import NO_ID, Lookup, buckets_of, by_file, concatenated, file_runs, member, occurrence, scanned
+from .files import NO_ID, Lookup, bucket_number, buckets_of, by_file, concatenated, file_runs, member, occurrence, scanned
 
 LENGTH, GRAM = 100, 40
-HOT = 4096
+HOT = 16_384
 PLACE = (1 << 28) - 1
 #: Bytes of texts that are hashed together, and of a text that is hashed at once.
 CHUNK, SEGMENT = 1 << 18, 1 << 22
@@ -140,6 +142,20 @@ def common_anchors(rows: DataFrame, n: int) -> str:
     return by_file(found.groupBy("bucket").applyInPandas(meet, "file long, a long"), "anchors")
 
 
+def digests(strings) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a 128-bit digest of each byte string."""
+    both = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in strings]), "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
+def firsts_of(x: np.ndarray, x2: np.ndarray, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Indices of the first occurrence of each different (x, x2)."""
+    order = np.lexsort((place, key, doc, x2, x))
+    if not len(order):
+        return order
+    return order[np.concatenate(([True], (x[order][1:] != x[order][:-1]) | (x2[order][1:] != x2[order][:-1])))]
+
+
 def first_contexts(rows: DataFrame, common: str, n: int) -> DataFrame:
     """file, a, y: the anchor and the occurrence hash of the first occurrence of every context of a common anchor."""
 
@@ -147,16 +163,15 @@ def first_contexts(rows: DataFrame, common: str, n: int) -> DataFrame:
         import pyarrow as pa
 
         look, held, count, file = Lookup(common), [], 0, None
-        names = ["bucket", "file", "a", "x", "doc", "key", "place"]
+        names = ["bucket", "file", "a", "x", "x2", "doc", "key", "place"]
 
         def flush():
-            a, x, doc, key, place = (np.concatenate(c) for c in zip(*held, strict=True))
+            a, x, x2, doc, key, place = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((place, key, doc, x))
-            order = order[np.concatenate(([True], x[order][1:] != x[order][:-1]))] if len(order) else order
-            parts = [p[order] for p in (a, x, doc, key, place.astype(np.int32))]
+            order = firsts_of(x, x2, doc, key, place)
+            parts = [p[order] for p in (a, x, x2, doc, key, place.astype(np.int32))]
             out = list(buckets_of(parts, parts[1], n))
-            kinds = (pa.int32(), *[pa.binary()] * 5)
+            kinds = (pa.int32(), *[pa.binary()] * 6)
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
             return pa.RecordBatch.from_arrays([columns[0], pa.array([file] * len(out), pa.int64()), *columns[1:]], names=names)
 
@@ -166,10 +181,11 @@ def first_contexts(rows: DataFrame, common: str, n: int) -> DataFrame:
                     yield flush()
                     count = 0
                 file = f
-                a, c, text, first, _, _ = anchors(run)
+                a, _, text, first, last, _ = anchors(run)
                 keep = member(a, look.sorted(f, "a"))
-                a, text = a[keep], text[keep]
-                held.append((a, kernels.mix(a * np.uint64(kernels.BASE) + c[keep]), doc[text], key[text], first[keep]))
+                a, text, first, last = a[keep], text[keep], first[keep], last[keep]
+                x, x2 = digests(run[t][s : e + LENGTH] for t, s, e in zip(text.tolist(), first.tolist(), last.tolist(), strict=True))
+                held.append((a, x, x2, doc[text], key[text], first))
                 count += len(a)
         if held:
             yield flush()
@@ -177,11 +193,10 @@ def first_contexts(rows: DataFrame, common: str, n: int) -> DataFrame:
     def meet(frame):
         import pandas as pd
 
-        a, x = (concatenated(frame[c], np.uint64) for c in ("a", "x"))
+        a, x, x2 = (concatenated(frame[c], np.uint64) for c in ("a", "x", "x2"))
         doc, key, place = concatenated(frame["doc"], np.int64), concatenated(frame["key"], np.int64), concatenated(frame["place"], np.int32)
         file = np.repeat(frame["file"].to_numpy(), [len(b) // 8 for b in frame["x"]])
-        order = np.lexsort((place, key, doc, x))
-        order = order[np.concatenate(([True], x[order][1:] != x[order][:-1]))]
+        order = firsts_of(x, x2, doc, key, place)
         y = occurrence(doc[order], key[order], place[order])
         out = pd.DataFrame({"file": file[order], "a": a[order].astype(np.int64), "y": y.astype(np.int64)})
         # a document that stands in several files is first in each of them
@@ -189,7 +204,7 @@ def first_contexts(rows: DataFrame, common: str, n: int) -> DataFrame:
         more = same[np.isin(same["y"], out["y"])]
         return pd.concat([out, more[["file", "a", "y"]]]).drop_duplicates()
 
-    schema = "bucket int, file long, a binary, x binary, doc binary, key binary, place binary"
+    schema = "bucket int, file long, a binary, x binary, x2 binary, doc binary, key binary, place binary"
     found = rows.mapInArrow(emit, schema).repartition(n, "bucket")
     return found.groupBy("bucket").applyInPandas(meet, "file long, a long, y long")
 
@@ -220,7 +235,7 @@ class Marker:
 
 
 def shared_contexts(rows: DataFrame, common: str, firsts: str) -> tuple[DataFrame, DataFrame]:
-    """The bytes of first contexts whose anchor has other contexts (kind 1); the window hashes of those of hot anchors (kind 2)."""
+    """The bytes of first contexts whose anchor has other contexts (kind 1); the window digests of those of hot anchors (kind 2)."""
 
     def emit(batches):
         import pyarrow as pa
@@ -244,13 +259,11 @@ def shared_contexts(rows: DataFrame, common: str, firsts: str) -> tuple[DataFram
                 n = last[k] - first[k] + 1
                 owner = np.repeat(k, n)
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[k], n)
-                data, starts = kernels.joined(run)
-                base = starts[text[owner]] + place
-                w = kernels.mix(kernels.range_hash(kernels.prefix_hash(data), base, base + LENGTH) + a[owner])
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (w.astype(np.int64), np.full(len(w), file), doc[text[owner]], key[text[owner]], place)], names=["w", "file", "doc", "key", "first"])
+                w, w2 = digests(run[t][p : p + LENGTH] for t, p in zip(text[owner].tolist(), place.tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (w.astype(np.int64), w2.astype(np.int64), np.full(len(w), file), doc[text[owner]], key[text[owner]], place)], names=["w", "w2", "file", "doc", "key", "first"])
 
     plain = rows.mapInArrow(emit, "a long, file long, doc long, key long, first long, at long, bytes binary")
-    return plain, rows.mapInArrow(emit_hot, "w long, file long, doc long, key long, first long")
+    return plain, rows.mapInArrow(emit_hot, "w long, w2 long, file long, doc long, key long, first long")
 
 
 def group_repeats(contexts: list[tuple]) -> list[tuple[int, int, int]]:
@@ -395,7 +408,7 @@ def remove_repeats(docs: DataFrame, stored: bool = False, hot: int = HOT) -> Dat
     spark = docs.sparkSession
     store.arrow_batches(spark)
     rows = scanned(docs, stored)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = bucket_number(rows)
     common = common_anchors(rows, n)
     firsts = store.materialise(first_contexts(rows, common, n), "contexts")
     several = firsts.select("a", "y").distinct().groupBy("a").count().where("count > 1")
@@ -405,8 +418,8 @@ def remove_repeats(docs: DataFrame, stored: bool = False, hot: int = HOT) -> Dat
     inner = repeats_in_contexts(plain)
     if not several.where(F.col("count") > hot).isEmpty():
         hot_windows = store.materialise(hot_windows, "windows")
-        best = hot_windows.groupBy("w").agg(F.min(F.struct("doc", "key", "first")).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
-        again = hot_windows.join(best, "w").where(F.struct("doc", "key", "first") != F.col("best"))
+        best = hot_windows.groupBy("w", "w2").agg(F.min(F.struct("doc", "key", "first")).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
+        again = hot_windows.join(best, ["w", "w2"]).where(F.struct("doc", "key", "first") != F.col("best"))
         inner = inner.unionByName(again.select("file", "doc", "key", "first", F.lit(1).cast("long").alias("windows")))
     return cut(rows, common, first_path, by_file(inner, "runs"))
 
