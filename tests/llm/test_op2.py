@@ -1,6 +1,7 @@
 """Temporal list join on a small history."""
 
 import datetime as dt
+import random
 
 from millrace.llm import op2_url_lists as op
 
@@ -40,3 +41,38 @@ def test_edges(spark):
 def test_keys(spark):
     row = spark.createDataFrame([("http://a.b.c.org/x",)], "url string").select(op.host_keys(op.host(op.F.col("url"))).alias("k")).first()
     assert row["k"] == ["a.b.c.org", "b.c.org", "c.org"]
+
+
+def test_against_brute_force(spark, monkeypatch):
+    """Long histories in several rows a key, captures on and between the changes, behind a shuffle, with and without broadcast."""
+    rng = random.Random(3)
+    keys = ["a.org", "b.a.org", "c.net"]
+    entries = [(rng.choice(["x", "y"]), rng.choice(keys), rng.choice(["add", "remove"]), day(rng.randint(0, 60))) for _ in range(300)]
+    captures = [(i, f"http://{rng.choice(['a.org', 'b.a.org', 'z.b.a.org', 'c.net', 'd.net'])}/", day(rng.randint(-2, 70)), "") for i in range(200)]
+
+    def expected(url, at):
+        name = url[7:-1]
+        out = {}
+        for which in ("x", "y"):
+            for key in keys:
+                if name == key or name.endswith("." + key):
+                    last, since = None, None
+                    for moment in sorted({e[3] for e in entries if e[:2] == (which, key) and e[3] <= at}):
+                        action = max(e[2] for e in entries if e[:2] == (which, key) and e[3] == moment)
+                        since = moment if action == "add" and last != "add" else since
+                        last = action
+                    if last == "add":
+                        out[which] = min(out.get(which, since), since)
+        return ",".join(sorted(out)), bool(out), min(out.values(), default=None)
+
+    want = sorted(((i, *expected(u, t)) for i, u, t, _ in captures), key=repr)
+    assert evaluate(spark, captures, entries) == want
+    monkeypatch.setattr(op, "CHUNK", 4)
+    monkeypatch.setattr(op, "BROADCAST", 0)
+    assert evaluate(spark, captures, entries) == want
+
+
+def test_very_long_url(spark):
+    host = ".".join(["l" * 60] * 40) + ".bad.example.com"
+    got = evaluate(spark, [(1, f"http://{host}/{'p' * 200_000}", day(11), "")])
+    assert [g[1:3] for g in got] == [("spam", True)]
