@@ -58,3 +58,27 @@ def test_held_out_rule(spark):
 
     rows = spark.range(200).select("id", op.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in rows)
+
+
+def test_rejects_what_it_has_not_learned(model):
+    """Texts of another language and junk are rejected; texts of the learned ones of all lengths are not."""
+    rng = random.Random(8)
+    other = ["".join(rng.choice(["yö", "pää", "hkä", "lu", "ssa", "nne"]) for _ in range(rng.randint(1, 4))) for _ in range(4000)]
+    foreign = [" ".join(rng.sample(other, n)) for n in (20, 60, 200) for _ in range(20)]
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n)) for n in (60, 300, 900) for _ in range(20)]
+    assert model.predict(foreign)[2].mean() > 0.9 and model.predict(junk)[2].mean() > 0.9
+    clean = [text(rng, lang, n) for lang in SYLLABLES for n in (3, 10, 40, 300, 1000) for _ in range(20)]
+    assert model.predict(clean)[2].mean() < 0.03
+
+
+def test_whole_texts_are_learned():
+    """What only the end of a long labelled text shows is learned."""
+    rng = random.Random(9)
+    rows = [(text(rng, lang, 60), lang) for lang in ("aa", "bb") for _ in range(30)]
+    rows += [(text(rng, "aa", 6000) + " " + " ".join(["zuvo"] * 3000), "aa") for _ in range(3)]
+    assert op.train(rows).predict(["zuvo zuvo zuvo"])[0] == ["aa"]
+
+
+def test_without_labels(spark):
+    docs = spark.createDataFrame([(1, "ka mo", None)], "doc_id long, text string, lang string")
+    assert op.sample(docs) == [] and op.keep_identified(docs, op.train([])).count() == 0
