@@ -8,7 +8,7 @@ driver gets one row of counts a shard, and their prefix sums are the shards' bas
 files into memory and adds the bases.
 
 Null texts are empty: their only id is the end id.  A null doc_id sorts first and is stored as the least 64-bit
-integer.  Repeated ids are all kept, ordered by a hash of the text.  Other columns are ignored; an empty table
+integer.  Repeated ids are all kept, ordered by a hash of the text.  A very long text is encoded by itself.  Other columns are ignored; an empty table
 gives no shards and no rows.
 """
 
@@ -28,6 +28,8 @@ from . import store
 NO_ID = -(1 << 63)
 #: Entries of one generation of a worker's caches.
 CACHE = 500_000
+#: Input bytes that one shard is for, and ids that are read at once.
+SHARD, READ = 1 << 28, 1 << 22
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 COUNTS = "shard int, n_docs long, n_tokens long"
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -70,21 +72,23 @@ class Encoder:
     """Texts to little-endian id bytes.
 
     With ``by_word`` each distinct white-space word is encoded once by the library and its ids are joined.  That is
-    right for tokenizers that drop white space and never look across it; otherwise leave it off.  Where the tokenizer's
-    own file has the normalizers and the pattern above, plain texts are split into its pre-tokens instead, which repeat
+    right for tokenizers that drop white space and never look across it; None asks for it only where the tokenizer's own
+    file has the normalizers and the pattern above.  There plain texts are split into its pre-tokens instead, which repeat
     more often than words.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         splits = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_piece = by_word and splits[:1] == [SPLIT] and steps == NORMALIZERS
+        known = splits[:1] == [SPLIT] and steps == NORMALIZERS
+        self.by_word = known if by_word is None else by_word
+        self.by_piece = self.by_word and known
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words, self.pieces = Cache(), Cache()
@@ -117,7 +121,7 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, by_word: bool) -> Encoder:
+def encoder(path: str, by_word: bool | None) -> Encoder:
     """One encoder a worker process."""
     if (path, by_word) not in _encoders:
         _encoders[path, by_word] = Encoder(path, by_word)
@@ -138,14 +142,16 @@ def _groups(texts: list[str], limit: int = 1 << 21):
         yield run
 
 
-def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, by_word: bool = False, partitions: int | None = None) -> list[dict]:
+def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, by_word: bool | None = None, partitions: int | None = None) -> list[dict]:
     """Write shards below the URI ``out``; return and save (manifest.json) shard, n_docs, n_tokens and the bases."""
     spark = docs.sparkSession
     store.arrow_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(size, 1 << 50) // SHARD))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    # the hash lets ranges cut among equal ids, so that neither null nor repeated ids are one shard
+    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     fs, top = store.filesystem(out)
     fs.create_dir(top, recursive=True)
 
@@ -189,13 +195,35 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, by_word:
     return shards
 
 
-def mapped(uri: str, dtype: str) -> np.ndarray:
-    """A file as an array: mapped into memory where the file system is local, else read."""
-    files, place = store.filesystem(uri)
-    if files.type_name == "local":
-        return np.memmap(place, dtype, "r") if os.path.getsize(place) else np.empty(0, dtype)
-    with files.open_input_file(place) as f:
-        return np.frombuffer(f.read(), dtype)
+class Mapped:
+    """A file as an array: mapped into memory where the file system is local, else read in parts of ``READ`` entries."""
+
+    def __init__(self, uri: str, dtype: str):
+        files, place = store.filesystem(uri)
+        self.dtype = np.dtype(dtype)
+        self.size = files.get_file_info(place).size // self.dtype.itemsize
+        self.map = self.file = None
+        if files.type_name != "local":
+            self.file = files.open_input_file(place)
+        elif self.size:
+            self.map = np.memmap(place, self.dtype, "r")
+        self.low, self.held = 0, np.empty(0, self.dtype)
+
+    def part(self, a: int, b: int) -> np.ndarray:
+        """Entries a to b, at most ``READ`` of them."""
+        if self.map is not None or a >= b:
+            return self.map[a:b] if self.map is not None else self.held[:0]
+        if not (self.low <= a and b <= self.low + len(self.held)):
+            self.file.seek(a * self.dtype.itemsize)
+            self.low, self.held = a, np.frombuffer(self.file.read(READ * self.dtype.itemsize), self.dtype)
+        return self.held[a - self.low : b - self.low]
+
+    def crc(self, a: int, b: int) -> int:
+        """crc32 of entries a to b as little-endian 32-bit integers."""
+        out = 0
+        for i in range(a, b, READ):
+            out = zlib.crc32(self.part(i, min(b, i + READ)).astype("<u4").tobytes(), out)
+        return out
 
 
 def read_tokens(spark: SparkSession, out: str, shards: list[dict], dtype: str) -> DataFrame:
@@ -206,12 +234,13 @@ def read_tokens(spark: SparkSession, out: str, shards: list[dict], dtype: str) -
 
         for frame in frames:
             for shard, base in zip(frame["shard"], frame["base"], strict=True):
-                ids, at, data = (mapped(f"{out}/shard-{shard:05d}.{x}", t) for x, t in (("ids", "<i8"), ("idx", "<i8"), ("bin", dtype)))
-                for i in range(0, len(ids), 5000):
-                    ends = at[i : i + 5001]
-                    crc = [zlib.crc32(data[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                    own = pd.array(np.where(ids[i : i + 5000] == NO_ID, 0, ids[i : i + 5000]), "Int64")
-                    own[np.asarray(ids[i : i + 5000] == NO_ID)] = pd.NA
+                ids, at, data = (Mapped(f"{out}/shard-{shard:05d}.{x}", t) for x, t in (("ids", "<i8"), ("idx", "<i8"), ("bin", dtype)))
+                for i in range(0, ids.size, 5000):
+                    own_ids = ids.part(i, min(ids.size, i + 5000))
+                    ends = np.array(at.part(i, i + len(own_ids) + 1))
+                    crc = [data.crc(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                    own = pd.array(np.where(own_ids == NO_ID, 0, own_ids), "Int64")
+                    own[np.asarray(own_ids == NO_ID)] = pd.NA
                     yield pd.DataFrame({"doc_id": own, "start": ends[:-1] + base, "n_tokens": np.diff(ends), "ids_crc32": crc, "shard": np.int32(shard)})
 
     rows = [(s["shard"], s["base"]) for s in shards]
@@ -219,7 +248,7 @@ def read_tokens(spark: SparkSession, out: str, shards: list[dict], dtype: str) -
     return plan.mapInPandas(read, TOKENS)
 
 
-def token_output(docs: DataFrame, path: str | None = None, end_id: int = 2, by_word: bool = True, out: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, path: str | None = None, end_id: int = 2, by_word: bool | None = None, out: str | None = None) -> DataFrame:
     """Write the shards of ``docs``, then return what ``read_tokens`` reads back from them."""
     spark = docs.sparkSession
     path, out = path or tokenizer_path(), out or store.new_path(spark, "tokens")
