@@ -8,11 +8,13 @@ t = D_i^-1(x), and the schedule is range-sorted by position.  The stream ends at
 so the words taken from a source differ from its target by rounding only.
 
 The place of a document in its stream is a prefix sum in two steps, so that a source with a third of all rows is
-no single task: sums of 1024 hash ranges a source, then sums within a range.  The only table of one task has a row
+no single task: sums of hash ranges of a source, whose number grows with the rows (``BUCKET_ROWS`` each, if one source
+had all), then sums within a range.  The only table of one task has a row
 for each source.  All of it is DataFrame operations.
 
 Null text has size 0 and is never taken.  A null source is a source of its own, ordered last.  Repeated rows are
-documents of their own.  Other columns, clashing names included, are ignored; an empty table gives no rows.
+documents of their own, and equal keys are ordered by doc_id.  Words of a very long text are counted in the JVM.
+Other columns, clashing names included, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from . import store
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLOPES = (0.5, 0.0, -0.5)
-BUCKET_BITS = 10
+#: Rows of a hash range, and the least number of ranges of a source as a power of two.
+BUCKET_ROWS, BUCKET_BITS = 1 << 16, 10
 
 
 def word_count(text) -> F.Column:
@@ -77,7 +80,8 @@ def plan_mix(docs: DataFrame, seed: int = 8, **targets) -> DataFrame:
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(seed).alias("key"))
     base = store.materialise(base, "mix")
     targets_df = source_targets(base.select("source", "size"), **targets).withColumnRenamed("source", "s")
-    bucket = F.shiftright(key, 64 - BUCKET_BITS)
+    bits = max(BUCKET_BITS, (base.count() // BUCKET_ROWS).bit_length())
+    bucket = F.shiftright(key, 64 - bits)
     sums = base.groupBy("source", bucket.alias("bucket")).agg(F.sum(size).alias("sum"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("sum").over(order), F.lit(0)).alias("before"))
