@@ -8,7 +8,7 @@ A word is a run of ``[^\\x20\\x09-\\x0D]`` with the vocabulary's word-start mark
 matching can't cover counts as one unknown token.  Each worker keeps counts of words it has seen, in a cache of
 fixed size.
 
-Null and empty texts have no words and no tokens.  Repeated rows, ties and null ids each give a row of their own;
+Null and empty texts have no words and no tokens.  A very long text is one list of its words.  Repeated rows, ties and null ids each give a row of their own;
 other columns are ignored; an empty table gives no rows.
 """
 

@@ -14,7 +14,8 @@ to (centre, salt) groups of bounded size and are streamed past the centre's set.
 
 Texts without words, and null texts, have an empty set and are linked with nothing.  Rows with a null doc_id are
 returned alone with a null component and are kept.  Rows that repeat a doc_id are one document, with the text of
-least hash; each such row is returned.  Other columns are ignored; an empty table gives no rows.
+least hash; each such row is returned.  Ties go to the smaller id.  A very long text is hashed in segments, and its set
+is 8 bytes a shingle.  Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -189,13 +190,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the least of their component, with their own columns; of rows that repeat an id one stays."""
     found = store.materialise(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
-    again = kept.groupBy("_kept").count().where("count > 1").select("_kept")
-    rows = docs.join(kept.distinct(), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_millrace_kept"))
+    again = kept.groupBy("_millrace_kept").count().where("count > 1").select("_millrace_kept")
+    rows = docs.join(kept.distinct(), F.col("doc_id").cast("long") == F.col("_millrace_kept"), "left_semi")
     if not again.isEmpty():  # only rows of repeated ids are ranked
-        twice = F.col("doc_id").cast("long") == F.col("_kept")
+        twice = F.col("doc_id").cast("long") == F.col("_millrace_kept")
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        first = rows.join(again, twice, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        first = rows.join(again, twice, "left_semi").withColumn("_millrace_n", F.row_number().over(order)).where("_millrace_n = 1").drop("_millrace_n")
         rows = rows.join(again, twice, "left_anti").unionByName(first)
     return rows.unionByName(docs.where("doc_id is null"))
 
