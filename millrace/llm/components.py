@@ -72,7 +72,7 @@ BLOCK = 2048
 MERGED = 8 * BLOCK
 
 
-def resolve(rows: DataFrame, payload: DataFrame, test: Callable[[DataFrame], DataFrame], solve: Callable) -> DataFrame:
+def resolve(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], test: Callable[[DataFrame], DataFrame], solve: Callable) -> DataFrame:
     """node, component of the links among members of one bucket; ``rows`` has doc, bucket and the bucket's size n.
 
     First each bucket is a star: the member that shares most buckets with others is its centre, and ``test`` takes the
@@ -80,7 +80,7 @@ def resolve(rows: DataFrame, payload: DataFrame, test: Callable[[DataFrame], Dat
     Buckets that still span several components are open; all their pairs are compared, but inside tasks: open buckets
     that overlap are one group (or, beyond ``MERGED`` members, each bucket is one), groups are dealt in blocks of
     ``BLOCK``, and solve(payloads, components) returns only links that join components, as index pairs.
-    ``payload`` has doc and value.
+    ``payload`` adds the column value to rows by their doc.
     """
     score = rows.groupBy("doc").agg(F.sum("n").alias("score"))
     rows = store.materialise(rows.select("doc", "bucket").join(score, "doc"), "buckets")
@@ -110,7 +110,7 @@ def resolve(rows: DataFrame, payload: DataFrame, test: Callable[[DataFrame], Dat
 HELD = 1 << 24
 
 
-def compared(members: DataFrame, payload: DataFrame, solve: Callable) -> DataFrame:
+def compared(members: DataFrame, payload: Callable[[DataFrame], DataFrame], solve: Callable) -> DataFrame:
     """Links (a, b) found by ``solve`` in each pair of blocks of each group; members: group, doc, own, n (the group's size).
 
     A block has at most about ``BLOCK`` members and ``HELD`` bytes.  Each member's payload is written once, to a table
@@ -118,7 +118,7 @@ def compared(members: DataFrame, payload: DataFrame, solve: Callable) -> DataFra
     multiplies rows of names and reads, not shuffled payloads.
     """
     spark = members.sparkSession
-    rows = members.select("group", "doc", "own").join(payload, "doc")
+    rows = payload(members.select("group", "doc", "own"))
     size = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("value")) / HELD)).cast("int").alias("blocks"))
     rows = rows.join(size, "group").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     few = rows.where("blocks = 1").drop("blocks").withColumns({"i": F.lit(0), "j": F.lit(0)})

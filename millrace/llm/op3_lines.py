@@ -364,9 +364,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, stored:
     members = texts.select(F.col("line").alias("doc"), F.explode("keys").alias("bucket")).distinct()
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     one_text = texts.groupBy("line").agg(F.min("text").alias("text"))
-    payload = one_text.select(F.col("line").alias("doc"), F.col("text").alias("value"))
+    values = one_text.select(F.col("line").alias("doc"), F.col("text").alias("value"))
     solve = lambda own, owners: joining_pairs(own, owners, edits)
-    classes = resolve(members.join(sizes, "bucket"), payload, lambda edges: near(edges, one_text, edits), solve)
+    classes = resolve(members.join(sizes, "bucket"), lambda some: some.join(values, "doc"), lambda edges: near(edges, one_text, edits), solve)
     owned = lines.join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("component", "h"))
     best = owned.groupBy("class").agg(F.min(F.struct("doc", "key", "place")).alias("best"), F.sum("n").alias("times")).where("times > 1")
     listed = owned.join(best, "class")

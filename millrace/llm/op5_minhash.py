@@ -5,22 +5,24 @@ greatest hash of the set are kept: half the hash evaluations for as many values,
 values are banded (``BANDS`` bands of ``ROWS``; a band never holds both values of one permutation).  At similarity 0.8
 two sets share no band with probability 3e-6.
 
-Documents with equal sets are one class, found by a 128-bit fingerprint, and only its least doc_id goes on.  Classes
-that share a band value form a bucket.  The member that shares most values with others is a bucket's centre, and all
+Documents with equal sets are one class, found by a 128-bit fingerprint, and only its first document goes on.  Classes
+are numbered as their table is written, so a class needs no id of its own.  Classes that share a band value form a bucket.  The member that shares most values with others is a bucket's centre, and all
 members are tested against it, so a group of copies costs one test a copy.  Where buckets still span several
 components, all their pairs are compared inside tasks, in blocks, by exact counts of shared shingles
 (``components.resolve``); only links that join components leave a task.  Tests compare the full sets: members travel
 to (centre, salt) groups of bounded size and are streamed past the centre's set.
 
-Texts without words, and null texts, have an empty set and are linked with nothing.  Rows with a null doc_id are
-returned alone with a null component and are kept.  Rows that repeat a doc_id are one document, with the text of
-least hash; each such row is returned.  Ties go to the smaller id.  A very long text is hashed in segments, and its set
-is 8 bytes a shingle.  Other columns are ignored; an empty table gives no rows.
+A document is a doc_id with a text, told apart by a 128-bit hash of the text: rows that repeat an id with different texts
+are documents of their own, rows that repeat both are one document, and each such row is returned.  A null doc_id is
+an id that comes last; a component without any other id is null.  Within an id the least hash of the text comes first.
+Texts without words, and null texts, have an empty set, are linked with nothing and are all kept.  A very long text is
+hashed in segments, and its set is 8 bytes a shingle.  Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,7 +34,7 @@ from .components import Union, resolve
 BANDS, ROWS = 32, 5
 #: Members that one group tests against a centre.
 GROUP = 512
-SIGNED = "doc_id long, key long, n_shingles long, fp binary, bands array<long>"
+SIGNED = "doc_id long, key struct<a: long, b: long>, n_shingles long, fp binary, bands array<long>"
 
 
 def min_max(sets: list[np.ndarray], seed: int = 5, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -85,17 +87,17 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def text_key() -> F.Column:
-    """Orders rows that repeat a doc_id."""
-    return F.xxhash64("text")
+    """128 bits that tell the texts of an id apart, and order them."""
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
 
 
-def tested(edges: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def tested(edges: DataFrame, with_text: Callable[[DataFrame], DataFrame], shingle: int, percent: int) -> DataFrame:
     """The edges (centre, member) whose full sets have 100 * shared >= percent * union."""
     counts = edges.groupBy("centre").count().select("centre", F.ceil(F.col("count") / GROUP).cast("int").alias("groups"))
     members = edges.join(counts, "centre").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("groups")).cast("int"))
     members = members.select("centre", "salt", F.lit(1).alias("side"), F.col("member").alias("doc"))
     centres = counts.select("centre", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("centre").alias("doc"))
-    rows = members.unionByName(centres).join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("centre", "salt", "side", "doc", "text")
+    rows = with_text(members.unionByName(centres)).select("centre", "salt", "side", "doc", "value")
     rows = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "side")
 
     def run(batches):
@@ -118,16 +120,18 @@ def tested(edges: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
-def links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """node, component over ``classes`` (doc_id, bands); nodes without a link are left out."""
-    rows = classes.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket"))
+def links(classes: DataFrame, with_text: Callable[[DataFrame], DataFrame], shingle: int, percent: int) -> DataFrame:
+    """node, component over ``classes`` (node, bands); nodes without a link are left out.
+
+    ``with_text`` adds value, the text of the class doc, to rows.
+    """
+    rows = classes.select(F.col("node").alias("doc"), F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    payload = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("value"))
 
     def solve(texts: list, owners: list) -> list[tuple[int, int]]:
         return joining_pairs(list(kernels.shingle_sets(texts, shingle)), owners, percent)
 
-    return resolve(rows.join(sizes, "bucket"), payload, lambda edges: tested(edges, docs, shingle, percent), solve)
+    return resolve(rows.join(sizes, "bucket"), with_text, lambda edges: tested(edges, with_text, shingle, percent), solve)
 
 
 def joining_pairs(sets: list[np.ndarray], owners: list, percent: int) -> list[tuple[int, int]]:
@@ -166,39 +170,59 @@ def joining_pairs(sets: list[np.ndarray], owners: list, percent: int) -> list[tu
     return out
 
 
+def _is(doc_id: str, key: str) -> F.Column:
+    """Whether the document (doc_id, key) of a row is that of two other columns."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("key") == F.col(key))
+
+
+def judged(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, key (of the text), n_shingles, component_id, kept of every row."""
+    rows = store.materialise(signatures(docs, shingle), "signatures")
+    worded = rows.where("n_shingles > 0")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = worded.groupBy("fp", "n_shingles").agg(F.min(F.struct(first.alias("first"), "bands")).alias("s"))
+    classes = classes.select("fp", "s.first", "s.bands", F.monotonically_increasing_id().alias("node"))
+    classes = store.materialise(classes, "classes")  # the numbers are read from the table from here on
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
+    repeated = worded.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    if not repeated.isEmpty():  # of rows that repeat id and text one text is enough
+        again = texts.join(repeated, _is("d", "k"), "left_semi").dropDuplicates(["doc_id", "key"])
+        texts = texts.join(repeated, _is("d", "k"), "left_anti").unionByName(again)
+    names = classes.select(F.col("node").alias("doc"), F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"))
+
+    def with_text(some: DataFrame) -> DataFrame:
+        return some.join(names, "doc").join(texts.withColumnRenamed("text", "value"), _is("d", "k")).drop("d", "k", "doc_id", "key")
+
+    comps = links(classes, with_text, shingle, percent)
+    of_class = classes.select("node", "fp", "first").join(comps, "node", "left")
+    tops = of_class.where("component is not null").groupBy("component").agg(F.min("first").alias("top"))
+    of_class = of_class.join(tops, "component", "left").select(F.col("fp").alias("f"), F.coalesce("top", "first").alias("top"))
+    out = rows.join(of_class, F.col("fp") == F.col("f"), "left")
+    component = F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), (F.col("top").isNull() | _is("top.doc_id", "top.key")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: components of the links at ``percent`` similarity or more."""
-    rows = store.materialise(signatures(docs, shingle), "signatures")
-    of_id = rows.where("doc_id is not null").groupBy("doc_id")
-    ids = of_id.agg(F.min(F.struct("key", "fp", "n_shingles", "bands")).alias("s")).select("doc_id", "s.*")
-    reps = ids.where("n_shingles > 0").groupBy("fp", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("s"))
-    reps = store.materialise(reps.select("fp", "n_shingles", "s.*"), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    repeated = of_id.count().where("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        first = Window.partitionBy("doc_id").orderBy("key")
-        again = texts.join(repeated, "doc_id", "left_semi").withColumn("key", text_key()).withColumn("n", F.row_number().over(first))
-        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(again.where("n = 1").select("doc_id", "text"))
-    comps = links(reps, texts, shingle, percent)
-    whole = reps.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("fp").alias("f"), F.coalesce("component", "doc_id").alias("c"))
-    out = rows.select("doc_id", "n_shingles").join(ids.select("doc_id", F.col("fp").alias("own")), "doc_id", "left")
-    out = out.join(whole, F.col("own") == F.col("f"), "left")
-    component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return judged(docs, shingle, percent).drop("key")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the least of their component, with their own columns; of rows that repeat an id one stays."""
-    found = store.materialise(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_millrace_kept"))
-    again = kept.groupBy("_millrace_kept").count().where("count > 1").select("_millrace_kept")
-    rows = docs.join(kept.distinct(), F.col("doc_id").cast("long") == F.col("_millrace_kept"), "left_semi")
-    if not again.isEmpty():  # only rows of repeated ids are ranked
-        twice = F.col("doc_id").cast("long") == F.col("_millrace_kept")
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        first = rows.join(again, twice, "left_semi").withColumn("_millrace_n", F.row_number().over(order)).where("_millrace_n = 1").drop("_millrace_n")
-        rows = rows.join(again, twice, "left_anti").unionByName(first)
-    return rows.unionByName(docs.where("doc_id is null"))
+    """The documents that are the first of their component, with their own columns; of rows that repeat id and text one stays.
+
+    Rows without words all stay.
+    """
+    kept = judged(docs, shingle, percent).where("kept").groupBy(F.col("doc_id").alias("_millrace_id"), F.col("key").alias("_millrace_kept"))
+    kept = store.materialise(kept.agg(F.count_if(F.col("n_shingles") > 0).alias("times")), "kept")
+    again = kept.where("times > 1")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_millrace_id")) & (F.col("_millrace_key") == F.col("_millrace_kept"))
+    rows = docs.withColumn("_millrace_key", text_key()).join(kept, own, "left_semi")
+    if not again.isEmpty():  # only repeated rows are ranked
+        order = Window.partitionBy("doc_id", "_millrace_key").orderBy(F.xxhash64(F.to_json(F.struct("*"))))
+        one = rows.join(again, own, "left_semi").withColumn("_millrace_n", F.row_number().over(order)).where("_millrace_n = 1").drop("_millrace_n")
+        rows = rows.join(again, own, "left_anti").unionByName(one)
+    return rows.drop("_millrace_key")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,22 +17,23 @@ def shingles(text, n):
 
 
 def brute(rows, n=4, percent=80):
-    sets = {i: shingles(t, n) for i, t in rows if i is not None}
-    up = {i: i for i in sets}
+    """(size, component's id, whether first) by (id, text); rows are (id, text, key of the text)."""
+    order = sorted({r for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    sets = [shingles(t, n) for _, t, _ in order]
+    up = list(range(len(order)))
 
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    ids = sorted(sets)
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
+    for i in range(len(order)):
+        for j in range(i):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 up[b] = a
-    return {i: (len(sets[i]), top(i)) for i in sets}
+    return {(d, t): (len(sets[i]), order[top(i)][0], top(i) == i) for i, (d, t, _) in enumerate(order)}
 
 
 def corpus(seed, families=8, size=12):
@@ -51,14 +52,16 @@ def corpus(seed, families=8, size=12):
 
 
 def check(spark, rows, schema="doc_id long, text string"):
-    got = op.near_duplicates(spark.createDataFrame(rows, schema), shingle=4).collect()
-    want = brute([r[:2] for r in rows])
+    docs = spark.createDataFrame(rows, schema)
+    keyed = [(r["doc_id"], r["text"], tuple(r["key"])) for r in docs.select("doc_id", "text", op.text_key().alias("key")).collect()]
+    want, named = brute(keyed), {(i, k): t for i, t, k in keyed}
+    got = op.judged(docs, shingle=4).collect()
     assert len(got) == len(rows)
     for r in got:
-        if r["doc_id"] is None:
-            assert r["component_id"] is None and r["kept"]
-        else:
-            assert (r["n_shingles"], r["component_id"], r["kept"]) == (*want[r["doc_id"]], want[r["doc_id"]][1] == r["doc_id"]), r
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == want[r["doc_id"], named[r["doc_id"], tuple(r["key"])]], r
+    kept = sorted(((r["doc_id"], r["text"]) for r in op.one_of_each(docs, shingle=4).collect()), key=repr)
+    alone = [(i, t) for i, t in (r[:2] for r in rows) if not shingles(t, 4)]
+    assert kept == sorted([d for d, (size, _, first) in want.items() if size and first] + alone, key=repr)
 
 
 @pytest.mark.parametrize("block", [5, 2048])
@@ -73,15 +76,21 @@ def test_odd_rows(spark):
     check(spark, [(i, t, "en", 0) for i, t in rows], "doc_id long, text string, fp string, bucket int")
 
 
-def test_repeated_id_counts_once(spark):
-    rows = op.near_duplicates(spark.createDataFrame([(1, "a b c d e"), (1, "f g h i j"), (2, "a b c d e"), (3, "f g h i j")], "doc_id long, text string"), 4).collect()
-    assert len(rows) == 4 and len({r["component_id"] for r in rows}) == 2
+def test_repeated_and_missing_ids(spark):
+    """Every different text is compared, whatever its id: 60 documents share one id, 30 have none, some rows are repeated."""
+    rows = [(7 if k < 60 else None if k < 90 else i, t) for k, (i, t) in enumerate(corpus(9))]
+    check(spark, rows + rows[:3] * 4 + rows[60:62] * 3 + [(7, None), (None, None), (None, "")] * 2)
+
+
+def test_different_texts_of_one_id(spark):
+    rows = op.near_duplicates(spark.createDataFrame([(1, "a b c d e"), (1, "f g h i j"), (2, "a b c d e"), (3, "f g h i j"), (1, "k l m n o")], "doc_id long, text string"), 4).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False)]
 
 
 def test_one_of_each(spark):
     docs = spark.createDataFrame([(3, "a b c d e f", "x"), (2, "a b c d e f", "y"), (2, "a b c d e f", "y"), (9, "other words are in this one", "z"), (None, "a b c d e f", "n"), (8, None, "e")], "doc_id long, text string, lang string")
     kept = op.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(((r["doc_id"], r["lang"]) for r in kept.collect()), key=repr) == [(2, "y"), (8, "e"), (9, "z"), (None, "n")]
+    assert kept.columns == docs.columns and sorted(((r["doc_id"], r["lang"]) for r in kept.collect()), key=repr) == [(2, "y"), (8, "e"), (9, "z")]
     assert op.one_of_each(docs.limit(0)).count() == 0
 
 
