@@ -25,9 +25,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate component: five-word shingles, similarity 0.8 or more.
 
-    The least doc_id stays.  Null and empty texts are alone in their component and stay, as do rows without an id.  Of
-    rows that repeat an id the one whose text has the least hash stays.  Long texts are compared whole; extra columns
-    stay.  An empty table stays empty.
+    The least doc_id stays; a null id comes last.  Different texts under one id, or without an id, are documents of their own; of
+    rows that repeat id and text one stays.  Null and empty texts are alone in their component and all stay.  Long texts
+    are compared whole; extra columns stay.  An empty table stays empty.
     """
     return op5_minhash.one_of_each(docs)
 
