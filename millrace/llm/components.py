@@ -113,21 +113,21 @@ HELD = 1 << 24
 def compared(members: DataFrame, payload: Callable[[DataFrame], DataFrame], solve: Callable) -> DataFrame:
     """Links (a, b) found by ``solve`` in each pair of blocks of each group; members: group, doc, own, n (the group's size).
 
-    A block has at most about ``BLOCK`` members and ``HELD`` bytes.  Each member's payload is written once, to a table
-    partitioned by block; a task of a pair of blocks gets their names and loads the two.  So a group of many blocks
+    A block has at most about ``BLOCK`` members and ``HELD`` bytes.  Members of groups of several blocks are written to a
+    table partitioned by block; a task of a pair of blocks gets their names and loads the two.  So a group of many blocks
     multiplies rows of names and reads, not shuffled payloads.
     """
     spark = members.sparkSession
-    rows = payload(members.select("group", "doc", "own"))
-    size = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("value")) / HELD)).cast("int").alias("blocks"))
+    rows = payload(members.select("group", "doc", "own")).withColumn("bytes", F.length("value"))
+    rows = store.materialise(rows, "members")  # payloads are shuffled once
+    size = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / HELD)).cast("int").alias("blocks"))
     rows = rows.join(size, "group").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    few = rows.where("blocks = 1").drop("blocks").withColumns({"i": F.lit(0), "j": F.lit(0)})
-    several = store.materialise(rows.where("blocks > 1"), "blocks")
+    few, several = rows.where("blocks = 1"), rows.where("blocks > 1")
     path = store.new_path(spark, "block-files")
     pairs = None
     if not several.isEmpty():
         name = F.xxhash64("group", "block").alias("name")
-        several.withColumn("name", name).repartition("name").write.partitionBy("name").parquet(path)
+        several.select("doc", "own", "value", name).repartition("name").write.partitionBy("name").parquet(path)
         one = several.select("group", "block").distinct()
         other = one.select(F.col("group").alias("g"), F.col("block").alias("b"))
         both = one.join(other, (F.col("group") == F.col("g")) & (F.col("block") <= F.col("b")))
