@@ -108,6 +108,8 @@ def resolve(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], test: Ca
 
 #: Bytes of a block's payloads.
 HELD = 1 << 24
+#: Parts in which a group meets its number of blocks, so that a hot group's payloads aren't one task.
+SALTS = 64
 
 
 def compared(members: DataFrame, payload: Callable[[DataFrame], DataFrame], solve: Callable) -> DataFrame:
@@ -121,8 +123,10 @@ def compared(members: DataFrame, payload: Callable[[DataFrame], DataFrame], solv
     rows = payload(members.select("group", "doc", "own")).withColumn("bytes", F.length("value"))
     rows = store.materialise(rows, "members")  # payloads are shuffled once
     size = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / HELD)).cast("int").alias("blocks"))
-    rows = rows.join(size, "group").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    few, several = rows.where("blocks = 1"), rows.where("blocks > 1")
+    large = size.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(large, ["group", "salt"], "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    few, several = rows.where("blocks is null"), rows.where("blocks is not null")
     path = store.new_path(spark, "block-files")
     pairs = None
     if not several.isEmpty():
