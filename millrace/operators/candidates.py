@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.constants import CHANNEL_PRIORITY, Config
+from millrace.operators import pairing
 from millrace.operators.channels import CHANNELS, LABELS
 
 
@@ -66,8 +67,7 @@ def run_blocking(records: DataFrame, config: Config = Config(), sample: int | No
     sample: the first so many S1 records of each country.
     """
     s1, targets = parts(records, sample)
-    hits = all_hits(s1, targets, config, channels)
-    return report(s1, cap(union_hits(hits), config), config)
+    return report(s1, pairing.best_pairs(s1, targets, config, channels), config)
 
 
 def blocking_stats(rows: DataFrame) -> DataFrame:
