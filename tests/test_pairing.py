@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import candidates as C
 from millrace.operators import channels as H
@@ -45,3 +46,13 @@ def test_report_lists_no_pairs(spark, monkeypatch):
     for label in "ABCDG":
         monkeypatch.setitem(H.CHANNELS, label, listed)
     assert rows(C.run_blocking(records, config)) == plain and {r[2] for r in plain} == {20}
+
+
+def test_grams_and_weights(spark):
+    words = ["a", "é", "wren", "ab", "नगर", "o-ne"]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, x string").select("i", H.char_grams(F.col("x"), 2, 4).alias("g")).orderBy("i").collect()
+    assert [sorted(r["g"]) for r in rows] == [sorted(H.word_grams(w, 2, 4)) for w in words]
+    weights = H.Weights([" a", "ab"], np.array([5, 9]), np.array([2.0, 1.0]))
+    ids, grams, w, sizes = weights.of(["p", "q", "r"], [["ab ab"], ["zz"], ["a", "c"]], H.Config())
+    assert (ids, grams.tolist(), sizes.tolist()) == (["p", "r"], [5, 9, 5], [2, 1])
+    assert np.allclose(w, [2 / 5**0.5, 1 / 5**0.5, 1])
