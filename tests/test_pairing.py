@@ -48,6 +48,27 @@ def test_report_lists_no_pairs(spark, monkeypatch):
     assert rows(C.run_blocking(records, config)) == plain and {r[2] for r in plain} == {20}
 
 
+def test_targets_are_not_copied(spark, monkeypatch):
+    """Many blocks of queries: the rows that are shuffled are the queries, and the targets are stored once."""
+    monkeypatch.setattr(P, "HELD", 5)
+    raw = [(str(i), f"s{1 + i % 3}", f"wren{i % 5} heron{i % 7} é{i % 2}", "", "US" if i % 4 else "Côte d'Ivoire / x=1") for i in range(150)]
+    records = staged(normalize(spark.createDataFrame(raw, "entity_id string, src string, business_name string, business_address string, country string")))
+    config = P.Config(max_candidates=6)
+    s1, targets = C.parts(records)
+    labels = ("B", "D", "G")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for by in (["country_key"], ["country_key", "src"]):
+        keys = P.entity_keys(s1, targets, config, labels, by)
+        asked = keys.where("side = 0").count()
+        assert P.blocks(keys, by).count() == asked and P.blocks(keys, by).select(*by, "block").distinct().count() > 8
+        assert spark.read.parquet(P.stored_targets(keys, by)).count() == keys.where("side = 1").count()
+    union = C.union_hits(C.all_hits(s1, targets, config, labels))
+    names = union.columns
+    assert rows(P.all_pairs(s1, targets, config, labels).select(*names)) == rows(union) != []
+    best = C.cap(union, config)
+    assert rows(P.best_pairs(s1, targets, config, labels).select(*best.columns)) == rows(best)
+
+
 def test_grams_and_weights(spark):
     words = ["a", "é", "wren", "ab", "नगर", "o-ne"]
     rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, x string").select("i", H.char_grams(F.col("x"), 2, 4).alias("g")).orderBy("i").collect()
