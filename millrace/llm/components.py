@@ -27,8 +27,8 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     small-star steps, each of which ends in a table in the shared folder: the number of rounds is logarithmic in the
     size of a component, and a hub's neighbours meet in a partial aggregate and a join, never in one group.
     """
-    edges = store.materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    return store.materialise(_in_one_task(edges) if edges.count() <= few else _in_rounds(edges), "components")
+    edges = store.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    return _in_one_task(edges) if edges.count() <= few else store.stored(_in_rounds(edges), "components")
 
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
                 union.join(i, j)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[union.labels()])], names=["node", "component"])
 
-    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+    return store.stored(edges.coalesce(1), "components", run, "node long, component long")
 
 
 def _in_rounds(edges: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def _in_rounds(edges: DataFrame) -> DataFrame:
         large = large.where("u > v").distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lows.select("u", F.col("m").alias("v")))
-        new = store.materialise(small.where("u > v").distinct(), "edges")
+        new = store.stored(small.where("u > v").distinct(), "edges")
         now = stamp(new)
         store.drop(edges)
         edges = new
@@ -76,23 +76,23 @@ def resolve(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], test: Ca
     """node, component of the links among members of one bucket; ``rows`` has doc, bucket and the bucket's size n.
 
     First each bucket is a star: the member that shares most buckets with others is its centre, and ``test`` takes the
-    edges (centre, member) and returns those that hold as (a, b).  Copies of one text end here, at one test a copy.
+    edges (centre, member) and returns a table of those that hold as (a, b).  Copies of one text end here, at one test a copy.
     Buckets that still span several components are open; all their pairs are compared, but inside tasks: open buckets
     that overlap are one group (or, beyond ``MERGED`` members, each bucket is one), groups are dealt in blocks of
     ``BLOCK``, and solve(payloads, components) returns only links that join components, as index pairs.
     ``payload`` adds the column value to rows by their doc.
     """
     score = rows.groupBy("doc").agg(F.sum("n").alias("score"))
-    rows = store.materialise(rows.select("doc", "bucket").join(score, "doc"), "buckets")
+    rows = store.stored(rows.select("doc", "bucket").join(score, "doc"), "buckets")
     best = rows.groupBy("bucket").agg(F.max(F.struct("score", F.bitwise_not("doc").alias("inverse"))).alias("top"))
     best = best.select("bucket", F.bitwise_not("top.inverse").alias("centre"))
     edges = rows.join(best, "bucket").where("doc <> centre").select("centre", F.col("doc").alias("member")).distinct()
-    found = store.materialise(test(edges), "links")
+    found = test(edges)
     comps = components(found)
     held = rows.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "bucket", F.coalesce("component", "doc").alias("own"))
     spread = held.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n"), F.min("doc").alias("least"))
     wide = spread.where(F.col("low") < F.col("high")).where("n > 2").select("bucket", "least")
-    held = store.materialise(held.join(wide, "bucket"), "open")
+    held = store.stored(held.join(wide, "bucket"), "open")
     if held.isEmpty():
         return comps
     groups = components(held.select(F.col("doc").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("group"))
@@ -103,7 +103,7 @@ def resolve(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], test: Ca
     by_bucket = large.groupBy("bucket").agg(F.count("*").alias("n"))
     large = large.join(by_bucket, "bucket").select("doc", "own", F.col("bucket").alias("group"), "n")
     more = compared(small.select("doc", "own", "group", "n").unionByName(large), payload, solve)
-    return components(found.unionByName(store.materialise(more, "links")))
+    return components(found.unionByName(more))
 
 
 #: Bytes of a block's payloads.
@@ -113,7 +113,7 @@ SALTS = 64
 
 
 def compared(members: DataFrame, payload: Callable[[DataFrame], DataFrame], solve: Callable) -> DataFrame:
-    """Links (a, b) found by ``solve`` in each pair of blocks of each group; members: group, doc, own, n (the group's size).
+    """A table of the links (a, b) found by ``solve`` in each pair of blocks of each group; members: group, doc, own, n (the group's size).
 
     A block has at most about ``BLOCK`` members and ``HELD`` bytes.  Members of groups of several blocks are written to a
     table partitioned by block; a task of a pair of blocks gets their names and loads the two.  So a group of many blocks
@@ -121,7 +121,7 @@ def compared(members: DataFrame, payload: Callable[[DataFrame], DataFrame], solv
     """
     spark = members.sparkSession
     rows = payload(members.select("group", "doc", "own")).withColumn("bytes", F.length("value"))
-    rows = store.materialise(rows, "members")  # payloads are shuffled once
+    rows = store.stored(rows, "members")  # payloads are shuffled once
     size = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / HELD)).cast("int").alias("blocks"))
     large = size.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(large, ["group", "salt"], "left")
@@ -131,7 +131,7 @@ def compared(members: DataFrame, payload: Callable[[DataFrame], DataFrame], solv
     pairs = None
     if not several.isEmpty():
         name = F.xxhash64("group", "block").alias("name")
-        several.select("doc", "own", "value", name).repartition("name").write.partitionBy("name").parquet(path)
+        store.write_parts(several.select("doc", "own", "value", name).repartition("name").sortWithinPartitions("name"), path, by="name")
         one = several.select("group", "block").distinct()
         other = one.select(F.col("group").alias("g"), F.col("block").alias("b"))
         both = one.join(other, (F.col("group") == F.col("g")) & (F.col("block") <= F.col("b")))
@@ -169,8 +169,8 @@ def compared(members: DataFrame, payload: Callable[[DataFrame], DataFrame], solv
             for i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield found(block(i) if i == j else block(i) + block(j))
 
-    links = few.mapInArrow(within, "a long, b long")
-    return links if pairs is None else links.unionByName(pairs.mapInArrow(across, "a long, b long"))
+    links = store.stored(few, "links", within, "a long, b long")
+    return links if pairs is None else links.unionByName(store.stored(pairs, "links", across, "a long, b long"))
 
 
 class Union:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels, store
 from .components import Union, resolve
-from .files import NO_ID, Lookup, bucket_number, buckets_of, by_file, concatenated, file_runs, member, occurrence, scanned
+from .files import NO_ID, Lookup, bucket_number, buckets_of, concatenated, file_runs, member, occurrence, scanned
 
 EDITS, LEAST = 2, 24
 GROUP = 512
@@ -191,15 +191,13 @@ def first_pass(rows: DataFrame, n: int, edits: int, least: int) -> DataFrame:
         if held:
             yield flush()
 
-    def meet(frame):
-        import pandas as pd
-
-        size = [len(x) // 8 for x in frame["h"]]
-        file, h = np.repeat(frame["file"].to_numpy(), size), concatenated(frame["h"], np.uint64)
-        if frame["kind"].iloc[0] == 0:
-            columns = {"doc": np.int64, "key": np.int64, "place": np.int32, "n": np.int32}
-            return pd.DataFrame({"kind": 0, "file": file, "h": h.astype(np.int64), **{c: concatenated(frame[c], t).astype(np.int64) for c, t in columns.items()}})
-        mark = concatenated(frame["doc"], np.uint64)
+    def meet(kind: int, file, h, doc, key, place, times):
+        size = [len(x) // 8 for x in h]
+        file, h = np.repeat(np.array(file, np.int64), size), concatenated(h, np.uint64)
+        if kind == 0:
+            columns = [concatenated(x, t).astype(np.int64) for x, t in ((doc, np.int64), (key, np.int64), (place, np.int32), (times, np.int32))]
+            return [np.zeros(len(h), np.int32), file, h.astype(np.int64), *columns]
+        mark = concatenated(doc, np.uint64)
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
         index, line = (mark[order] & np.uint64(1)).astype(bool), mark[order] >> np.uint64(1)
@@ -207,11 +205,32 @@ def first_pass(rows: DataFrame, n: int, edits: int, least: int) -> DataFrame:
         shared = (low < high) & np.logical_or.reduceat(index, starts) & np.logical_or.reduceat(~index, starts)
         keep = np.zeros(len(h), bool)
         keep[order] = np.repeat(shared, np.diff([*starts.tolist(), len(h)]))
-        found = pd.DataFrame({"kind": 1, "file": file[keep], "h": h[keep].astype(np.int64)}).drop_duplicates()
-        return found.assign(doc=0, key=0, place=0, n=0)
+        file, h = file[keep], h[keep].astype(np.int64)
+        order = np.lexsort((h, file))
+        file, h = file[order], h[order]
+        new = np.concatenate(([True], (file[1:] != file[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.empty(0, bool)
+        file, h = file[new], h[new]
+        return [np.ones(len(h), np.int32), file, h, *[np.zeros(len(h), np.int64)] * 4]
+
+    def met(batches):
+        import pyarrow as pa
+
+        def found():
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in meet(of[0], *zip(*held, strict=True))], names=["kind", *names[2:]])
+
+        of, held = None, []
+        for batch in batches:
+            for kind, bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (kind, bucket) != of:
+                    if held:
+                        yield found()
+                    of, held = (kind, bucket), []
+                held.append(row)
+        if held:
+            yield found()
 
-    found = rows.mapInArrow(emit, kinds).repartition(n, "kind", "bucket")
-    return found.groupBy("kind", "bucket").applyInPandas(meet, "kind int, file long, h long, doc long, key long, place long, n long")
+    dealt = rows.mapInArrow(emit, kinds).repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    return store.stored(dealt, "lines", met, "kind int, file long, h long, doc long, key long, place long, n long")
 
 
 def candidates(rows: DataFrame, shared: str, edits: int, least: int) -> DataFrame:
@@ -240,7 +259,7 @@ def candidates(rows: DataFrame, shared: str, edits: int, least: int) -> DataFram
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int64()))], names=["line", "text", "keys"])
 
-    return rows.mapInArrow(emit, "line long, text string, keys array<long>")
+    return store.stored(rows, "candidates", emit, "line long, text string, keys array<long>")
 
 
 def _grouped(line: np.ndarray, k: np.ndarray):
@@ -275,7 +294,7 @@ def near(edges: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
             found = [e for e, o in zip(ends, ok, strict=True) if o]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return store.stored(rows, "links", run, "a long, b long")
 
 
 def joining_pairs(lines: list[str], owners: list, edits: int) -> list[tuple[int, int]]:
@@ -357,10 +376,11 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, stored:
     store.arrow_batches(spark)
     rows = scanned(docs, stored)
     n = bucket_number(rows)
-    found = store.materialise(first_pass(rows, n, edits, least), "lines")
+    found = first_pass(rows, n, edits, least)
     lines = found.where("kind = 0").drop("kind")
-    shared = by_file(found.where("kind = 1").select("file", "h"), "keys")
-    texts = store.materialise(candidates(rows, shared, edits, least), "candidates")
+    shared = store.new_path(spark, "keys")
+    store.write_parts(found.where("kind = 1").select("file", "h").repartition("file").sortWithinPartitions("file"), shared, by="file")
+    texts = candidates(rows, shared, edits, least)
     members = texts.select(F.col("line").alias("doc"), F.explode("keys").alias("bucket")).distinct()
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     one_text = texts.groupBy("line").agg(F.min("text").alias("text"))
@@ -381,7 +401,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, stored:
             y = occurrence(doc, key, place).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(b.column(5).to_numpy(zero_copy_only=False), y, 0))], names=["file", "h", "y"])
 
-    return without_lines(rows, by_file(listed.mapInArrow(hashed, "file long, h long, y long"), "classes"))
+    stays = store.new_path(spark, "classes")
+    store.write_parts(listed.repartition("file").sortWithinPartitions("file"), stays, hashed, "file")
+    return without_lines(rows, stays)
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

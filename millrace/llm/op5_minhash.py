@@ -117,7 +117,7 @@ def tested(edges: DataFrame, with_text: Callable[[DataFrame], DataFrame], shingl
                     out.append((c, d))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return store.stored(rows, "links", run, "a long, b long")
 
 
 def links(classes: DataFrame, with_text: Callable[[DataFrame], DataFrame], shingle: int, percent: int) -> DataFrame:
