@@ -358,7 +358,7 @@ def without_lines(rows: DataFrame, listed: str) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.string()), strict=True)], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    return rows.mapInArrow(run, KEPT)
+    return store.stored(rows, "cut", run, KEPT)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
