@@ -105,12 +105,14 @@ def token_weights(targets: DataFrame) -> DataFrame:
 
 
 def channel_b(s1: DataFrame, targets: DataFrame, config: Config = Config()) -> DataFrame:
-    """Shared name tokens that are rare among the targets."""
+    """Shared name tokens that are rare among the targets; pairs are made in blocks, but for those that must share several."""
+    from millrace.operators import pairing
+
+    if config.min_overlap <= 1:
+        return pairing.channel_pairs("B", s1, targets, config)
     q, t = sides(s1, targets, lambda df: [F.explode(name_tokens(df)).alias("token")])
     rare = token_weights(targets).where(F.col("idf") >= config.idf_floor).select("country_key", "src", "token")
     hits = q.join(t.join(rare, ["country_key", "src", "token"]), ["country_key", "token"])
-    if config.min_overlap <= 1:
-        return hits.select(*PAIR).distinct()
     return hits.distinct().groupBy(*PAIR).agg(F.count("*").alias("n")).where(F.col("n") >= config.min_overlap).select(*PAIR)
 
 

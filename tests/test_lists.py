@@ -52,3 +52,14 @@ def test_gram_codes(spark, n):
                 code = (code * 1114112 + (ord(g[k]) if k < len(g) else 0)) % H.PRIME
             want.append(code)
     assert codes.tolist() == want and starts.tolist() == np.cumsum([0, *(len(r["g"]) for r in s[:-1])]).tolist()
+
+
+def test_channel_b(sides):
+    config = H.Config(idf_floor=1.5)
+    q, t = H.sides(*sides, lambda df: [F.explode(H.name_tokens(df)).alias("token")])
+    rare = H.token_weights(sides[1]).where(f"idf >= {config.idf_floor}").select("country_key", "src", "token")
+    found = H.channel_b(*sides, config)
+    assert not shuffles_pairs(found)
+    assert rows(found) == rows(by_key(q, t.join(rare, ["country_key", "src", "token"]), ["token"])) != []
+    twice = q.join(t.join(rare, ["country_key", "src", "token"]), ["country_key", "token"]).groupBy(*H.PAIR).count().where("count > 1").select(*H.PAIR)
+    assert rows(H.channel_b(*sides, H.Config(idf_floor=1.5, min_overlap=2))) == rows(twice) != []
