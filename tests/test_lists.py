@@ -63,3 +63,14 @@ def test_channel_b(sides):
     assert rows(found) == rows(by_key(q, t.join(rare, ["country_key", "src", "token"]), ["token"])) != []
     twice = q.join(t.join(rare, ["country_key", "src", "token"]), ["country_key", "token"]).groupBy(*H.PAIR).count().where("count > 1").select(*H.PAIR)
     assert rows(H.channel_b(*sides, H.Config(idf_floor=1.5, min_overlap=2))) == rows(twice) != []
+
+
+def test_lists_of_targets(sides, monkeypatch):
+    """Few large groups are many tasks, and a row is a query with all it finds by the same channels."""
+    monkeypatch.setattr(P, "LISTING", 5)
+    keys = P.entity_keys(*sides, H.Config(), ("B", "G"), ["country_key"])
+    assert P.blocks(keys, ["country_key"], P.LISTING).select("country_key", "block").distinct().count() > 8
+    lists = P.scored(keys, ["country_key"], None)
+    pairs = [(*r[:2], t, r["found"]) for r in lists.collect() for t in r["target_ids"]]
+    assert rows(P.listed(lists).select("country_key", "s1_id", "target_id", "found")) == sorted(pairs)
+    assert lists.count() * 2 < len(pairs) == len(set(p[:3] for p in pairs))
